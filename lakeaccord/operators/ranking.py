@@ -41,11 +41,14 @@ def _with_starts(rows: DataFrame, starts: DataFrame, group: list[str]) -> DataFr
     return rows.join(side, condition, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def rank_by_hash(df: DataFrame, group: list[str], digest: str, out: str = "rank") -> DataFrame:
+def rank_by_hash(
+    df: DataFrame, group: list[str], digest: str, out: str = "rank", group_rows: str | None = None
+) -> DataFrame:
     """``row_number() over (partition by group order by digest)``, exactly.
 
     ``digest`` is a unique :func:`order_hash` column: its leading digits split
-    every group, hot or not, into equal buckets.
+    every group, hot or not, into equal buckets. ``group_rows`` names a column
+    for the size of the group.
     """
     group = group or [_EVERYTHING]
     rows = df.withColumn("_bucket", hash_bucket(F.col(digest)))
@@ -53,11 +56,10 @@ def rank_by_hash(df: DataFrame, group: list[str], digest: str, out: str = "rank"
         rows = rows.withColumn(_EVERYTHING, F.lit(0))
     starts = _bucket_starts(rows, group, F.count(F.lit(1)))
     inside = W.partitionBy(*group, "_bucket").orderBy(digest)
-    return (
-        _with_starts(rows, starts, group)
-        .withColumn(out, F.col("_before") + F.row_number().over(inside))
-        .drop("_bucket", "_before", "_group_rows", _EVERYTHING)
-    )
+    ranked = _with_starts(rows, starts, group).withColumn(out, F.col("_before") + F.row_number().over(inside))
+    if group_rows:
+        ranked = ranked.withColumn(group_rows, F.col("_group_rows"))
+    return ranked.drop("_bucket", "_before", "_group_rows", _EVERYTHING)
 
 
 def keep_smallest(df: DataFrame, group: list[str], digest: str, quota: Column) -> DataFrame:

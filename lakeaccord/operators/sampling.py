@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import order_hash
+from ..functions.hashing import BUCKETS, hash_bucket, order_hash
 from ..functions.text import as_text
 from .ranking import keep_smallest, rank_by_hash
 
@@ -15,13 +15,29 @@ EVIDENCE_SAMPLE = 10
 MANIFEST_SAMPLE = 6
 
 
-def long_values(df: DataFrame, columns: list[str], keep: list[Column]) -> DataFrame:
-    """One row per (row, column): ``col_name`` and the value as text; nulls dropped."""
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("col_name"), as_text(F.col(c), df.schema[c].dataType).alias("value"))
-        for c in columns
-    ])
-    return df.select(*keep, F.inline(cells)).filter(F.col("value").isNotNull())
+def _cells(df: DataFrame, columns: list[str], keep: dict[str, Column]) -> Column:
+    """One (column, text value) struct per column; a cell outside ``keep`` is null."""
+    cells = []
+    for name in columns:
+        text = as_text(F.col(name), df.schema[name].dataType)
+        kept = F.when(keep[name], text) if name in keep else text
+        cells.append(F.struct(F.lit(name).alias("col_name"), kept.alias("value")))
+    return F.inline(F.array(*cells))
+
+
+def _cutoffs(hashed: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """One row: per column the digest bucket in which its n-th value lies.
+
+    A column with fewer than ``n`` values keeps all its buckets.
+    """
+    counts = hashed.groupBy("_bucket").agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)])
+    upto = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = F.lit(BUCKETS - 1)
+    firsts = []
+    summed = counts.select("_bucket", *[F.sum(f"_n{i}").over(upto).alias(f"_n{i}") for i in range(len(columns))])
+    for i in range(len(columns)):
+        firsts.append(F.coalesce(F.min(F.when(F.col(f"_n{i}") >= n, F.col("_bucket"))), last))
+    return summed.agg(F.array(*firsts).alias("cutoffs"))
 
 
 def sample_values(
@@ -34,14 +50,24 @@ def sample_values(
 ) -> DataFrame:
     """Up to ``n`` non-null values per (table, column), without replacement.
 
-    Ranking to a constant is cut to ``n`` rows per column on the map side
-    before the shuffle. ``table`` is a column for many tables in one frame.
+    ``table`` is a name, or a column when one frame holds many tables. For one
+    table a first pass counts values per digest bucket, so that the second only
+    writes out and sorts the cells that can be among the first ``n``. Ranking to
+    a constant is cut to ``n`` rows per column on the map side of the shuffle.
     """
-    table = F.lit(table) if isinstance(table, str) else table
-    keep = [table.alias("table_name"), order_hash(seed, *[F.col(k) for k in key]).alias("_h")]
+    hashed = df.withColumn("_h", order_hash(seed, *[F.col(k) for k in key]))
+    keep: dict[str, Column] = {}
+    if isinstance(table, str):
+        hashed = hashed.withColumn("_bucket", hash_bucket(F.col("_h")))
+        cut = _cutoffs(hashed, columns, n)
+        hashed = hashed.withColumn("_cut", cut.scalar()).filter(F.col("_bucket") <= F.array_max("_cut"))
+        keep = {c: F.col("_bucket") <= F.get("_cut", i) for i, c in enumerate(columns)}
+        table = F.lit(table)
+    named = hashed.withColumn("table_name", table)
     ordered = W.partitionBy("table_name", "col_name").orderBy("_h", "value")
     picked = (
-        long_values(df, columns, keep)
+        named.select("table_name", "_h", _cells(df, columns, keep))
+        .filter(F.col("value").isNotNull())
         .withColumn("_rank", F.row_number().over(ordered))
         .filter(F.col("_rank") <= n)
     )

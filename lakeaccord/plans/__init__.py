@@ -1,8 +1,8 @@
 """Ready-made queries over a lake folder, each with the SQL it must agree with."""
 
-from . import profiles, samples
+from . import evaluation_queries, evidence_queries, profiles, rollup_queries, samples
 
-MODULES = [profiles, samples]
+MODULES = [profiles, samples, rollup_queries, evidence_queries, evaluation_queries]
 
 
 def registry() -> dict:
