@@ -38,7 +38,8 @@ def truth(spark, folder):
     return table(spark, folder, "labels").select("doc_id", label.alias("label")).withColumnRenamed("doc_id", "pair_id")
 
 
-def _says(letter, limit):
+def _fires(letter, limit=None):
+    """Whether the rule of one source has an answer for a document."""
     return {
         "S": F.col("n_chars") > limit,
         "V": F.col("text").contains("@"),
@@ -47,20 +48,10 @@ def _says(letter, limit):
     }[letter]
 
 
-def reply(order, combo, limit):
-    """What a model answers about a document when it may use the sources of a combo."""
-    answers = [
-        F.when(F.contains(combo, F.lit(letter)) & _says(letter, limit), F.lit(REPLY[letter])) for letter in order
-    ]
-    return F.coalesce(*answers)
-
-
 def predictions(spark, folder, runs=1):
     """(pair_id, combo, model, run, pred); a silent model gives no row."""
     documents = table(spark, folder, "documents").select(F.col("doc_id").alias("pair_id"), "text", "lang", "source", "n_chars")
-    signals = documents.select("pair_id", *[
-        _says(letter, F.lit(0)).alias(letter) if letter != "S" else F.col("n_chars") for letter in "VLDS"
-    ])
+    signals = documents.select("pair_id", "n_chars", *[_fires(letter).alias(letter) for letter in "VLD"])
     cells = F.array(*[
         F.struct(F.lit(model).alias("model"), F.lit(run).alias("run")) for model in MODELS for run in range(1, runs + 1)
     ])
@@ -237,12 +228,8 @@ SELECT model, combo, macro_f1, accuracy FROM r
 QUALIFY row_number() OVER (PARTITION BY model ORDER BY macro_f1 DESC, length(combo), combo) = 1"""
 
 
-def _sizes(fractions=(0.37, 0.63, 1.0)):
-    """Sample sizes; the labels of the smallest lake are fewer than the largest size."""
-    return [60, 150, 390]
-
-
-SIZES = _sizes()
+# Sample sizes; the smallest lake has fewer labels than the largest size.
+SIZES = [60, 150, 390]
 
 
 def size_robustness(spark, folder):
@@ -307,7 +294,8 @@ def _rule(order, combo, run):
     limit = F.lit(run * LENGTH_STEP)
 
     def label(pairs):
-        said = F.coalesce(reply(order, F.lit(combo), limit), F.lit("cannot tell"))
+        answers = [F.when(_fires(letter, limit), F.lit(REPLY[letter])) for letter in order if letter in combo]
+        said = F.coalesce(*answers, F.lit("cannot tell"))
         return pairs.select("pair_id", parse_label(said).alias("pred"))
 
     return label
