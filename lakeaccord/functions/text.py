@@ -22,11 +22,10 @@ def as_text(value: Column, data_type: T.DataType) -> Column:
     """A value as people write it: no exponent for doubles of everyday size."""
     if not isinstance(data_type, (T.DoubleType, T.FloatType)):
         return value.cast("string")
+    plain = F.rtrim(value.cast("decimal(38,18)").cast("string"), F.lit("0"))
     size = F.abs(value)
-    plain = F.regexp_replace(value.cast("decimal(38,18)").cast("string"), "0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
     spelled_out = ((size >= 1e7) & (size < 1e16)) | ((size < 1e-3) & (size >= 1e-4))
-    return F.when(spelled_out, plain).otherwise(value.cast("string"))
+    return F.when(spelled_out, F.regexp_replace(plain, r"\.$", ".0")).otherwise(value.cast("string"))
 
 
 def quoted_list(values: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,48 +22,43 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType)]
 
 
-def _present(df: DataFrame, name: str) -> Column:
-    """The column with NaN read as missing."""
+def _present(df: DataFrame, name: str) -> str:
+    """The column as SQL, with NaN read as missing."""
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return F.nanvl(F.col(name), F.lit(None))
-    return F.col(name)
+        return f"nanvl(`{name}`, NULL)"
+    return f"`{name}`"
 
 
-def _as_double(df: DataFrame, name: str) -> Column:
+def _as_double(df: DataFrame, name: str) -> str:
     value = _present(df, name)
     if isinstance(df.schema[name].dataType, T.BooleanType):
-        value = value.cast("int")
-    return value.cast("double")
+        value = f"CAST({value} AS INT)"
+    return f"CAST({value} AS DOUBLE)"
 
 
 def _moments(df: DataFrame, columns: list[str], group: list[str], approx: bool) -> DataFrame:
     """One aggregate over all columns, no rows multiplied; then one row per column."""
-    aggregates = [F.count(F.lit(1)).alias("_rows")]
+    aggregates = ["count(1) AS _rows"]
     cells = []
     for i, name in enumerate(columns):
-        aggregates.append(F.count(_present(df, name)).alias(f"_n{i}"))
-        cell = {
-            "col_name": F.lit(name),
-            "row_count": F.col("_rows"),
-            "null_count": F.col("_rows") - F.col(f"_n{i}"),
-        }
+        data_type = df.schema[name].dataType
+        aggregates.append(f"count({_present(df, name)}) AS _n{i}")
+        cell = [f"'{name}' AS col_name", "_rows AS row_count", f"_rows - _n{i} AS null_count"]
         if approx:
-            counted = df.schema[name].dataType
-            shown = F.col(name).cast("string") if isinstance(counted, (T.ArrayType, T.StructType)) else _present(df, name)
-            aggregates.append(F.approx_count_distinct(shown).alias(f"_d{i}"))
-            cell["distinct_count"] = F.col(f"_d{i}")
-        if is_numeric(df.schema[name].dataType):
-            value = _as_double(df, name)
-            aggregates += [
-                F.min(value).alias(f"_lo{i}"), F.max(value).alias(f"_hi{i}"),
-                F.avg(value).alias(f"_mean{i}"), F.stddev_samp(value).alias(f"_std{i}"),
-            ]
-            numbers = [F.round(f"_{part}{i}", 4) for part in ("lo", "hi", "mean", "std")]
-        else:
-            numbers = [F.lit(None).cast("double")] * 4
-        cell.update(zip(("min", "max", "mean", "std"), numbers))
-        cells.append(F.struct(*[v.alias(k) for k, v in cell.items()]))
-    return df.groupBy(*group).agg(*aggregates).select(*group, F.inline(F.array(*cells)))
+            nested = isinstance(data_type, (T.ArrayType, T.StructType))
+            shown = f"CAST(`{name}` AS STRING)" if nested else _present(df, name)
+            aggregates.append(f"approx_count_distinct({shown}) AS _d{i}")
+            cell.append(f"_d{i} AS distinct_count")
+        functions = {"min": "min", "max": "max", "mean": "avg", "std": "stddev_samp"}
+        for part, function in functions.items():
+            if is_numeric(data_type):
+                aggregates.append(f"{function}({_as_double(df, name)}) AS _{part}{i}")
+                cell.append(f"round(_{part}{i}, 4) AS {part}")
+            else:
+                cell.append(f"CAST(NULL AS DOUBLE) AS {part}")
+        cells.append(f"struct({', '.join(cell)})")
+    one_row = df.groupBy(*group).agg(*[F.expr(a) for a in aggregates])
+    return one_row.selectExpr(*group, f"inline(array({', '.join(cells)}))")
 
 
 def _type_classes(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
@@ -80,23 +75,34 @@ def _type_classes(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
     return classes
 
 
-def _distincts(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
+def _values(df: DataFrame, columns: list[str], keep: list[str]) -> dict[str, DataFrame]:
+    """Columns of one type laid under each other as (col_name, value), per type."""
+    out = {}
+    for as_type, names in _type_classes(df, columns).items():
+        cells = ", ".join(f"struct('{n}' AS col_name, CAST({_present(df, n)} AS {as_type}) AS value)" for n in names)
+        out[as_type] = df.selectExpr(*keep, f"inline(array({cells}))")
+    return out
+
+
+def _count_distinct(values: list[dict[str, DataFrame]], key: list[str]) -> DataFrame:
     """Exact distinct counts: equal values meet before they are counted.
 
-    Columns of one type are laid under each other, so a scan reads only its own
-    columns and the shuffle holds narrow (column, value) rows, already reduced
-    per task. A value that fills a column arrives once per task.
+    A scan reads only the columns of its type, and the shuffle holds narrow
+    (column, value) rows that each task has already made distinct, so a value
+    that fills a column arrives once per task. All tables share one shuffle.
     """
     parts = []
-    for as_type, names in _type_classes(df, columns).items():
-        cells = F.array(*[
-            F.struct(F.lit(n).alias("col_name"), _present(df, n).cast(as_type).alias("value")) for n in names
-        ])
-        values = df.select(*group, F.inline(cells)).groupBy(*group, "col_name", "value").agg(F.lit(1).alias("_one"))
-        parts.append(values.groupBy(*group, "col_name").agg(F.count("value").alias("distinct_count")))
+    for as_type in sorted({t for per_type in values for t in per_type}):
+        laid = reduce(DataFrame.unionByName, [per_type[as_type] for per_type in values if as_type in per_type])
+        parts.append(laid.distinct().groupBy(*key).agg(F.expr("count(value) AS distinct_count")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _with_distincts(stats: DataFrame, exact: DataFrame, key: list[str]) -> DataFrame:
+    """Rows per column only: an empty table has no distinct rows and counts zero."""
+    return stats.join(exact, key, "left").withColumn("distinct_count", F.expr("coalesce(distinct_count, 0L)"))
+
+
 def profile(
     df: DataFrame,
     table: str | None = None,
@@ -112,18 +118,24 @@ def profile(
     keys = [group] if group else []
     stats = _moments(df, columns, keys, approx_distinct)
     if not approx_distinct:
-        exact = _distincts(df, columns, keys)
-        stats = stats.join(exact, [*keys, "col_name"], "left").withColumn(
-            "distinct_count", F.coalesce("distinct_count", F.lit(0).cast("bigint"))
-        )
+        key = [*keys, "col_name"]
+        stats = _with_distincts(stats, _count_distinct([_values(df, columns, keys)], key), key)
     name = F.col(group) if group else F.lit(table)
     return stats.withColumn("table_name", name).select(*PROFILE_COLUMNS)
 
 
 def profile_lake(tables: dict[str, DataFrame], approx_distinct: bool = False) -> DataFrame:
-    """Profiles of many tables under each other."""
-    parts = [profile(df, table=name, approx_distinct=approx_distinct) for name, df in tables.items()]
-    return reduce(DataFrame.unionByName, parts)
+    """Profiles of many tables under each other, distinct counts joined once for all."""
+    if approx_distinct:
+        parts = [profile(df, name, approx_distinct=True) for name, df in tables.items()]
+        return reduce(DataFrame.unionByName, parts)
+    key = ["table_name", "col_name"]
+    stats, values = [], []
+    for name, df in tables.items():
+        stats.append(_moments(df, df.columns, [], False).select(F.lit(name).alias("table_name"), "*"))
+        values.append(_values(df, df.columns, [f"'{name}' AS table_name"]))
+    exact = _count_distinct(values, key)
+    return _with_distincts(reduce(DataFrame.unionByName, stats), exact, key).select(*PROFILE_COLUMNS)
 
 
 def manifests(stats: DataFrame, samples: DataFrame) -> DataFrame:

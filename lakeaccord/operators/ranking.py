@@ -91,8 +91,8 @@ def _with_range_bucket(rows: DataFrame, key: str, buckets: int) -> DataFrame:
     whatever bounds it returns, equal keys meet in one bucket and buckets are
     in key order, so ranks stay exact.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = rows.agg(F.percentile_approx(key, shares, 10 * buckets).alias("bounds"))
+    shares = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
+    bounds = rows.agg(F.expr(f"percentile_approx(`{key}`, array({shares}), {10 * buckets})").alias("bounds"))
     steps = F.array(*[F.lit(buckets >> i) for i in range(1, buckets.bit_length())])
     position = F.aggregate(
         steps,
