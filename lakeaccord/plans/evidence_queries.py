@@ -8,7 +8,8 @@ from ..operators.evidence import (
 )
 from ..session import fresh_path
 from ..sources.catalog import (
-    declared_columns, declared_properties, missing_tables, read_manifests, read_pairs, write_manifests, write_pairs,
+    ddl_blocks, declared_columns, declared_properties, missing_tables, read_ddl_texts, read_manifests, read_pairs,
+    write_ddl_texts, write_manifests, write_pairs,
 )
 from ..sources.csv_tables import read_csv_table, scan_column, write_csv_table
 from ..sources.lake import table
@@ -20,7 +21,10 @@ from .profiles import _profile_sql
 
 
 def ddl_catalog(spark, folder):
-    blocks = shards.shard_ddl(spark, folder)
+    """Declaration texts written to files, read back whole and split into statements."""
+    path = fresh_path(spark, "ddl")
+    write_ddl_texts(shards.shard_ddl_texts(spark, folder), path)
+    blocks = ddl_blocks(read_ddl_texts(spark, path))
     found = blocks.join(declared_properties(blocks), "table_name")
     return found.select(
         "table_name", "ddl", *[F.col("properties")[k].alias(k) for k in ("source", "currency", "grain")]

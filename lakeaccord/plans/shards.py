@@ -91,7 +91,7 @@ def shard_ddl_texts(spark, folder) -> DataFrame:
     both = F.concat(statement(F.lit("Outdated")), F.lit("\n\n"), statement(F.col("s_name")), F.lit("\n\n"))
     parts = supplier.select(floor_divide(F.col("s_suppkey"), NAMESPACE).alias("seq"), F.struct("s_suppkey", both.alias("t")).alias("part"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["t"]), "")
-    return parts.groupBy("seq").agg(F.concat(F.lit("-- generated\n"), joined).alias("text"))
+    return parts.groupBy("seq").agg(joined.alias("text"))
 
 
 def shard_ddl(spark, folder) -> DataFrame:

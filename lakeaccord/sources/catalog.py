@@ -84,10 +84,15 @@ STATEMENT_NAME = r"(?U)CREATE TABLE (\w+)"
 
 def read_ddl_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: ``seq`` orders the files, ``text`` is the whole file."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(F.col("_metadata.file_path").alias("seq"), F.col("value").alias("text"))
 
 
+def write_ddl_texts(texts: DataFrame, path: str) -> None:
+    """Writes the ``text`` of each row; the statements of one row stay in order in one file."""
+    texts.select("text").write.mode("overwrite").text(path)
+
+
 def ddl_blocks(texts: DataFrame) -> DataFrame:
     """One stripped CREATE TABLE statement per table name; the last one counts."""
     parts = texts.select("seq", F.posexplode(F.split("text", STATEMENT_SPLIT)).alias("pos", "part"))
