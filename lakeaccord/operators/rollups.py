@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import truncate_to_long
+from ..functions.numeric import round_half_even, truncate_to_long
 
 MONEY = "decimal(18,2)"
 
@@ -127,15 +127,17 @@ def coarsen_bins(bins: DataFrame, factor: int = 2) -> DataFrame:
     )
 
 
+def percent(part: Column, whole: Column) -> Column:
+    return round_half_even(F.try_divide(part, whole) * F.lit(100.0), 2)
+
+
 def share_of_total(df: DataFrame, amount: str, out: str = "pct_total", within: list[str] | None = None) -> DataFrame:
     """Percent of the total, of the whole frame or of the groups ``within``."""
     if not within:
         total = df.agg(F.sum(amount)).scalar()
-        return df.withColumn(out, F.bround(F.col(amount) * F.lit(100.0) / total, 2))
+        return df.withColumn(out, percent(F.col(amount), total))
     totals = df.groupBy(*within).agg(F.sum(amount).alias("_total"))
-    return df.join(totals, within).withColumn(
-        out, F.bround(F.col(amount) * F.lit(100.0) / F.col("_total"), 2)
-    ).drop("_total")
+    return df.join(totals, within).withColumn(out, percent(F.col(amount), F.col("_total"))).drop("_total")
 
 
 def unique_names(df: DataFrame, name: str, number: str, out: str, separator: str = "") -> DataFrame:

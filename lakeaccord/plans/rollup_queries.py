@@ -117,7 +117,7 @@ def _bin_sql(grain: int, last: int) -> str:
     return f"""SELECT '{grain}' AS grain,
   CASE WHEN b >= {last} THEN (b * {grain}) || '+' ELSE (b * {grain}) || '-' || (b * {grain} + {grain - 1}) END AS size_range,
   count(*) AS population_count,
-  round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 2) AS pct_total
+  round_even(count(*)::DOUBLE / sum(count(*)) OVER () * 100.0::DOUBLE, 2) AS pct_total
 FROM (SELECT least(p_size // {grain}, {last}) AS b FROM part) GROUP BY b"""
 
 
@@ -130,8 +130,8 @@ def shares(spark, folder):
 
 
 SHARES_SQL = """SELECT p_brand, p_type, count(*) AS parts,
-  round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 2) AS pct_total,
-  round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY p_brand), 2) AS pct_brand
+  round_even(count(*)::DOUBLE / sum(count(*)) OVER () * 100.0::DOUBLE, 2) AS pct_total,
+  round_even(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY p_brand) * 100.0::DOUBLE, 2) AS pct_brand
 FROM part GROUP BY p_brand, p_type"""
 
 
