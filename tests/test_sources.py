@@ -1,0 +1,162 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from lakeaccord.operators.profile import profile
+from lakeaccord.sources import catalog, csv_tables, lineage, results
+
+DDL = """-- a heading that belongs to no table
+CREATE TABLE sales (
+    month STRING COMMENT 'Old'
+)
+COMMENT 'Old'
+STORED AS PARQUET
+TBLPROPERTIES (currency='EUR');
+
+CREATE TABLE climate (
+    city STRING COMMENT 'City name',
+    temp DOUBLE COMMENT 'Average (degrees)'
+)
+COMMENT 'Climate'
+STORED AS PARQUET
+TBLPROPERTIES (unit='celsius' grain='per-city');
+
+CREATE TABLE sales (
+    month STRING COMMENT 'Reporting month',
+    total BIGINT COMMENT 'Sales in US dollars'
+)
+COMMENT 'Sales'
+STORED AS PARQUET
+TBLPROPERTIES (currency='USD' grain='per-month');
+
+"""
+
+
+@pytest.fixture(scope="module")
+def blocks(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("ddl") / "all.sql"
+    path.write_text(DDL)
+    return catalog.ddl_blocks(catalog.read_ddl_texts(spark, str(path)))
+
+
+def test_ddl_blocks_last_statement_wins(blocks):
+    got = {r["table_name"]: r["ddl"] for r in blocks.collect()}
+    assert set(got) == {"sales", "climate"}
+    assert got["sales"].startswith("CREATE TABLE sales (\n    month STRING COMMENT 'Reporting month'")
+    assert got["sales"].endswith("grain='per-month');")
+
+
+def test_declared_columns_and_properties(blocks):
+    columns = {(r["table_name"], r["pos"]): (r["col_name"], r["col_type"], r["comment"]) for r in catalog.declared_columns(blocks).collect()}
+    assert columns == {
+        ("sales", 0): ("month", "STRING", "Reporting month"), ("sales", 1): ("total", "BIGINT", "Sales in US dollars"),
+        ("climate", 0): ("city", "STRING", "City name"), ("climate", 1): ("temp", "DOUBLE", "Average (degrees)"),
+    }
+    properties = {r["table_name"]: r["properties"] for r in catalog.declared_properties(blocks).collect()}
+    assert properties == {"sales": {"currency": "USD", "grain": "per-month"}, "climate": {"unit": "celsius", "grain": "per-city"}}
+
+
+EVENTS = [
+    {"eventType": "COMPLETE", "eventTime": "2024-01-01", "run": {"runId": "r-0002"}, "job": {"name": "late"},
+     "inputs": [{"name": "a"}, {"name": "b"}], "outputs": [{"name": "t", "facets": {"sql": {"query": "SELECT 1"}}}]},
+    {"eventType": "COMPLETE", "eventTime": "2024-01-01", "run": {"runId": "r-0001"}, "job": {"name": "early"},
+     "inputs": [], "outputs": [{"name": "t"}, {"name": None}, {"namespace": "x"}]},
+    {"eventType": "COMPLETE", "eventTime": "2024-01-01", "run": {"runId": "r-10000"}, "outputs": [{"name": "u"}, {"name": "u", "facets": {"sql": {"query": "Q"}}}]},
+    {"eventType": "COMPLETE", "eventTime": "2024-01-01", "run": {"runId": "r-0003"}, "job": {"name": "none"}, "outputs": []},
+]
+
+
+def test_lineage_keeps_the_last_event_of_an_output(spark, tmp_path):
+    path = tmp_path / "lineage.json"
+    path.write_text(json.dumps(EVENTS))
+    got = {r["table_name"]: (r["job"], r["inputs"], r["sql"]) for r in lineage.lineage_by_table(lineage.read_lineage(spark, str(path))).collect()}
+    assert got == {"t": ("late", ["a", "b"], "SELECT 1"), "u": ("", [], "Q")}
+    edges = lineage.table_graph(lineage.lineage_by_table(lineage.read_lineage(spark, str(path)))).collect()
+    assert {(r["input"], r["output"], r["job"]) for r in edges} == {("a", "t", "late"), ("b", "t", "late")}
+
+
+def test_lineage_events_are_numbered_per_output(spark, tmp_path):
+    jobs = spark.createDataFrame(
+        [(1, "ingest", ["source/x"], ["a", "b"], "S1"), (2, "aggregate", ["a"], ["c"], "S2")],
+        "seq bigint, job string, inputs array<string>, outputs array<string>, sql string",
+    )
+    path = str(tmp_path / "events")
+    lineage.write_lineage(lineage.lineage_events(jobs), path)
+    got = lineage.read_lineage(spark, path, one_array=False).orderBy("run.runId").collect()
+    assert [r["run"]["runId"] for r in got] == ["dag-run-0001", "dag-run-0002", "dag-run-0003"]
+    assert [r["outputs"][0]["name"] for r in got] == ["a", "b", "c"]
+    assert [r["inputs"][0]["namespace"] for r in got] == ["source", "source", "lakehouse"]
+    assert got[2]["outputs"][0]["facets"]["sql"]["query"] == "S2" and got[0]["eventType"] == "COMPLETE"
+
+
+def test_pairs_are_a_bag_with_minted_ids(spark, tmp_path):
+    raw = [(i, "a", "x", "b", "y", "TYPE1_MEASURE") for i in (10, 20, 30)]
+    pairs = catalog.mint_pair_ids(
+        spark.createDataFrame(raw, "o bigint, table_a string, col_a string, table_b string, col_b string, label string"), "o"
+    )
+    path = str(tmp_path / "pairs")
+    catalog.write_pairs(pairs, path)
+    back = catalog.read_pairs(spark, path, one_array=False)
+    assert sorted(r["id"] for r in back.collect()) == ["P0001", "P0002", "P0003"]
+    array = tmp_path / "pairs.json"
+    array.write_text(json.dumps([r.asDict() for r in back.collect()], indent=2))
+    assert catalog.read_pairs(spark, str(array)).count() == 3
+    present = spark.createDataFrame([("a",)], "table_name string")
+    assert [r[0] for r in catalog.missing_tables(back, present).collect()] == ["b"]
+
+
+def test_manifests_round_trip_and_skip_a_broken_table(spark, tmp_path):
+    good = spark.createDataFrame([(1, "x"), (2, None)], "id bigint, s string")
+    broken = good.withColumn("s", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.warns(UserWarning, match="bad"):
+        skipped = catalog.write_manifests({"good": good, "bad": broken}, {"good": ["id"], "bad": ["id"]}, str(tmp_path / "m"))
+    assert skipped == ["bad"]
+    back = {(r["table_name"], r["col_name"]): r for r in catalog.read_manifests(spark, str(tmp_path / "m")).collect()}
+    for r in profile(good, "good").collect():
+        found = back[("good", r["col_name"])]
+        assert all(found[c] == r[c] for c in ("row_count", "null_count", "distinct_count", "min", "max", "mean", "std"))
+    assert back[("good", "s")]["sample_values"] == ["x"]
+
+
+def test_manifest_files_as_written_by_hand(spark, tmp_path):
+    columns = {"age": {"row_count": 9, "null_count": 0, "distinct_count": 9, "sample_values": ["1"], "min": 1.0, "max": 2.0, "mean": 1.5, "std": 0.5},
+               "name": {"row_count": 9, "null_count": 0, "distinct_count": 9, "sample_values": ["a"]}}
+    (tmp_path / "t.json").write_text(json.dumps({"table": "t", "columns": columns}, indent=2))
+    (tmp_path / "z.json").write_text(json.dumps({"table": "t", "columns": {"age": dict(columns["age"], row_count=10)}}, indent=2))
+    (tmp_path / "notes.txt").write_text("no manifest")
+    got = {r["col_name"]: r for r in catalog.read_manifests(spark, str(tmp_path)).collect()}
+    assert set(got) == {"age"} and got["age"]["row_count"] == 10 and got["age"]["std"] == 0.5
+
+
+def test_csv_scan(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("city,month,temp\nRome,2023-01,7.5\nNA,2023-02,\n\"Paris, FR\",2023-03,N/A\n")
+    schema = "city string, month string, temp double"
+    got = [tuple(r) for r in csv_tables.read_csv_table(spark, str(path), schema).collect()]
+    assert got == [("Rome", "2023-01", 7.5), (None, "2023-02", None), ("Paris, FR", "2023-03", None)]
+    scan = csv_tables.scan_column(spark, str(path), schema, "city")
+    assert [r[0] for r in scan.collect()] == ["Rome", "Paris, FR"]
+    assert csv_tables.scan_column(spark, str(path), schema, "absent").count() == 0
+    assert csv_tables.scan_column(spark, str(tmp_path / "absent.csv"), schema, "city").count() == 0
+    csv_tables.write_csv_table(csv_tables.read_csv_table(spark, str(path), schema), str(tmp_path / "out"))
+    back = csv_tables.read_csv_table(spark, str(tmp_path / "out"), schema)
+    assert sorted(map(str, back.collect())) == sorted(map(str, csv_tables.read_csv_table(spark, str(path), schema).collect()))
+
+
+def test_summary_sink_and_point_lookup(spark, tmp_path):
+    summary = spark.createDataFrame([("D", 0.5), ("DL", 0.7)], "combo string, accuracy double")
+    results.write_summary(summary, str(tmp_path / "s"))
+    back = results.read_summary(spark, str(tmp_path / "s"), "combo string, accuracy double")
+    assert results.row_of_combo(back, "DL").first()["accuracy"] == 0.7
+    assert results.row_of_combo(back, "X").count() == 0
+
+
+def test_predictions_prune_partitions(spark, tmp_path):
+    path = str(tmp_path / "p")
+    assert results.read_predictions(spark, path).count() == 0
+    rows = spark.createDataFrame([("1", "A", "m", "D", 1), ("1", "B", "m", "DL", 1)], results.PREDICTION_SCHEMA)
+    results.append_predictions(rows, path)
+    found = results.read_predictions(spark, path).filter("combo = 'DL'")
+    assert found.collect()[0]["pred"] == "B"
+    assert "PartitionFilters: [isnotnull(combo" in found._jdf.queryExecution().toString()

@@ -1,0 +1,94 @@
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
+
+from lakeaccord.labels import LABELS
+from lakeaccord.operators import textmodel as tm
+
+TEXTS = ["Sales in USD, sales_usd a", "Été à la plage", "x", "", "sales in EUR 2023-01", "plage plage plage la"]
+
+
+def terms(text):
+    tokens = [t for t in re.findall(r"\w\w+", text.lower())]
+    return tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])]
+
+
+def weights(texts):
+    counts = [Counter(terms(t)) for t in texts]
+    df = Counter(t for c in counts for t in c)
+    out = {}
+    for i, c in enumerate(counts):
+        raw = {t: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in c.items()}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        out.update({(i, t): w / norm for t, w in raw.items()})
+    return out
+
+
+def test_terms_and_weights(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
+    got = {r["id"]: r["t"] for r in df.select("id", tm.terms(F.col("text")).alias("t")).collect()}
+    assert {i: sorted(t) for i, t in got.items()} == {i: sorted(terms(t)) for i, t in enumerate(TEXTS)}
+    found = {(r["id"], r["term"]): r["weight"] for r in tm.tfidf_weights(df, "id", "text").collect()}
+    expected = weights(TEXTS)
+    assert found.keys() == expected.keys()
+    assert all(math.isclose(found[k], expected[k], rel_tol=1e-12) for k in found)
+
+
+def test_fold_vectors_use_the_training_texts_only(spark, tmp_path):
+    rows = [("S", f"p{i}", LABELS[i % 4], i % 5, TEXTS[i % len(TEXTS)] + f" w{i}") for i in range(20)]
+    texts = spark.createDataFrame(rows, "combo string, pair_id string, label string, fold int, text string")
+    size = tm.write_fold_features(texts, ["combo"], str(tmp_path))
+    vocabulary = {r["term"]: r["index"] for r in spark.read.parquet(f"{tmp_path}/vocabulary").collect()}
+    assert sorted(vocabulary.values()) == list(range(1, len(vocabulary) + 1)) and size == len(vocabulary)
+    model = 2
+    train = [r for r in rows if r[3] != model]
+    df = Counter(t for r in train for t in set(terms(r[4])))
+    wanted = []
+    for _, _, label, fold, text in rows:
+        raw = {t: (1 + math.log(n)) * (math.log((1 + len(train)) / (1 + df[t])) + 1) for t, n in Counter(terms(text)).items() if df[t]}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        if raw:
+            wanted.append((LABELS.index(label), fold, sorted((vocabulary[t] - 1, round(w / norm, 9)) for t, w in raw.items())))
+    read = spark.read.format("libsvm").option("numFeatures", size).load(f"{tmp_path}/vectors/combo=S/model={model}").collect()
+    got = [(int(r["label"]), r["fold"], [(int(i), round(float(v), 9)) for i, v in zip(r["features"].indices, r["features"].values)]) for r in read]
+    assert sorted(got) == sorted(wanted)
+
+
+def test_classifier_is_the_balanced_penalised_optimum(spark):
+    """The gradient of the stated objective vanishes at the fitted coefficients."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(120, 6))
+    y = np.array([0] * 60 + [1] * 30 + [2] * 20 + [3] * 10)
+    x[np.arange(120), y] += 1.5
+    train = spark.createDataFrame([(float(t), Vectors.dense(v.tolist())) for t, v in zip(y, x)], ["label", "features"])
+    model = tm.fit_classifier(train)
+    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    scores = x @ w.T + b
+    p = np.exp(scores - scores.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    weight = 120 / (4 * np.bincount(y))[y]
+    residual = (p - np.eye(4)[y]) * weight[:, None]
+    assert np.abs(residual.T @ x + w).max() < 0.05
+    assert np.abs(residual.sum(0)).max() < 0.05
+
+
+def test_cross_validation_learns_a_clear_signal(spark):
+    words = ["currency euro dollar", "monthly annual weekly", "same equal copy", "other entity thing"]
+    rows = [("S", f"p{i:03d}", LABELS[i % 4], f"{words[i % 4]} noise{i % 7}") for i in range(80)]
+    texts = spark.createDataFrame(rows, "combo string, pair_id string, label string, text string")
+    means, pooled = tm.cross_validate(texts, ["S"])
+    r = means.first()
+    assert r["n_folds"] == 5 and r["accuracy_mean"] == 1.0 and r["macro_f1_std"] == 0.0
+    assert pooled.first()["n_pairs"] == 80
+
+
+def test_a_vocabulary_beyond_the_driver_is_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tm, "MAX_TERMS", 3)
+    texts = spark.createDataFrame([("S", "p", LABELS[0], 0, "one two three four")], "combo string, pair_id string, label string, fold int, text string")
+    with pytest.raises(ValueError, match="more than"):
+        tm.write_fold_features(texts, ["combo"], str(tmp_path))
