@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashing import compact
+
 PROFILE_COLUMNS = [
     "table_name", "col_name", "row_count", "null_count", "distinct_count", "min", "max", "mean", "std",
 ]
@@ -79,7 +81,9 @@ def _values(df: DataFrame, columns: list[str], keep: list[str]) -> dict[str, Dat
     """Columns of one type laid under each other as (col_name, value), per type."""
     out = {}
     for as_type, names in _type_classes(df, columns).items():
-        cells = ", ".join(f"struct('{n}' AS col_name, CAST({_present(df, n)} AS {as_type}) AS value)" for n in names)
+        cast = {n: f"CAST({_present(df, n)} AS {as_type})" for n in names}
+        shown = {n: compact(v) if as_type == "string" else v for n, v in cast.items()}
+        cells = ", ".join(f"struct('{n}' AS col_name, {v} AS value)" for n, v in shown.items())
         out[as_type] = df.selectExpr(*keep, f"inline(array({cells}))")
     return out
 
@@ -89,7 +93,8 @@ def _count_distinct(values: list[dict[str, DataFrame]], key: list[str]) -> DataF
 
     A scan reads only the columns of its type, and the shuffle holds narrow
     (column, value) rows that each task has already made distinct, so a value
-    that fills a column arrives once per task. All tables share one shuffle.
+    that fills a column arrives once per task; a long text is a digest there.
+    All tables share one shuffle.
     """
     parts = []
     for as_type in sorted({t for per_type in values for t in per_type}):

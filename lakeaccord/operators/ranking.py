@@ -8,6 +8,8 @@ over the few buckets, and only rows of one bucket are sorted together.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_bucket
 
 _EVERYTHING = "_all"
-RANGE_BUCKETS = 1024
+RANGE_BUCKETS = 1024       # quantiles fetched to the driver
+CELL_PARTS = 64            # equal widths between two quantiles
+ROWS_PER_BUCKET = 1_000_000
 
 
 def _bucket_starts(rows: DataFrame, group: list[str], weight: Column) -> DataFrame:
@@ -84,28 +88,50 @@ def keep_smallest(df: DataFrame, group: list[str], digest: str, quota: Column) -
     )
 
 
-def _with_range_bucket(rows: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Adds the number of quantile bounds at or below the key, by binary search.
+def _range_bounds(df: DataFrame, key: str, rows_per_bucket: int) -> list[float]:
+    """At most ``RANGE_BUCKETS`` + 1 quantiles of the key, lowest to highest.
+
+    They are fetched once, so that every use of a bucket in a plan, and every
+    repetition of a lost task, sees the same ones. They come from a sketch:
+    ranks are exact for any bounds, only the sizes of the buckets depend on it.
+    """
+    rows = df.select(F.col(key).cast("double").alias("k"))
+    buckets = min(RANGE_BUCKETS, 1 + rows.count() // rows_per_bucket)
+    shares = [i / buckets for i in range(buckets + 1)]
+    found = rows.approxQuantile("k", shares, 0.1 / buckets)
+    return sorted({bound for bound in found if math.isfinite(bound)})
+
+
+def _with_range_bucket(rows: DataFrame, key: str, bounds: list[float]) -> DataFrame:
+    """Adds the place of the key among the bounds, and within them.
 
-    The bounds are one array per query (a scalar subquery), found by a sketch;
-    whatever bounds it returns, equal keys meet in one bucket and buckets are
-    in key order, so ranks stay exact.
+    The place is found by binary search; the cell between two bounds is cut
+    into ``CELL_PARTS`` equal widths. Equal keys share a bucket and buckets are
+    in key order.
     """
-    shares = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
-    bounds = rows.agg(F.expr(f"percentile_approx(`{key}`, array({shares}), {10 * buckets})").alias("bounds"))
-    steps = F.array(*[F.lit(buckets >> i) for i in range(1, buckets.bit_length())])
-    position = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.get("_bounds", at + step - 1) <= F.col(key), at + step).otherwise(at),
+    if len(bounds) < 2:
+        return rows.withColumn("_bucket", F.lit(0)).withColumn(_EVERYTHING, F.lit(0))
+    literal = "array(" + ", ".join(f"{b!r}D" for b in bounds) + ")"
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    value = f"CAST(`{key}` AS DOUBLE)"
+    found = rows.withColumn("_cell", F.expr(
+        f"aggregate(array({', '.join(map(str, steps))}), 0, (at, step) -> "
+        f"IF(at + step <= {len(bounds)} AND get({literal}, at + step - 1) <= {value}, at + step, at))"
+    ))
+    low, high = f"get({literal}, _cell - 1)", f"get({literal}, _cell)"
+    part = f"coalesce(least({CELL_PARTS - 1}, CAST(({value} - {low}) / ({high} - {low}) * {CELL_PARTS} AS INT)), 0)"
+    return (
+        found.withColumn("_bucket", F.expr(f"_cell * {CELL_PARTS} + {part}")).drop("_cell").withColumn(_EVERYTHING, F.lit(0))
     )
-    found = rows.withColumn("_bounds", bounds.scalar()).withColumn("_bucket", position)
-    return found.drop("_bounds").withColumn(_EVERYTHING, F.lit(0))
 
 
-def row_numbers(df: DataFrame, key: str, out: str = "row_number", buckets: int = RANGE_BUCKETS) -> DataFrame:
-    """``row_number() over (order by key)`` for a unique numeric key."""
-    rows = _with_range_bucket(df, key, buckets)
+def row_numbers(df: DataFrame, key: str, out: str = "row_number", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``row_number() over (order by key)`` for a unique numeric key.
+
+    A first small job finds the bounds of the key ranges. Rows are then counted
+    per range from the key column alone and shuffled once, by range.
+    """
+    rows = _with_range_bucket(df, key, _range_bounds(df, key, rows_per_bucket))
     starts = _bucket_starts(rows, [_EVERYTHING], F.count(F.lit(1)))
     inside = W.partitionBy("_bucket").orderBy(key)
     return (
@@ -115,15 +141,16 @@ def row_numbers(df: DataFrame, key: str, out: str = "row_number", buckets: int =
     )
 
 
-def rank_with_ties(df: DataFrame, value: str, out: str = "rank", buckets: int = RANGE_BUCKETS) -> DataFrame:
+def rank_with_ties(df: DataFrame, value: str, out: str = "rank", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``rank() over (order by value desc)`` for a numeric value.
 
     Equal values are counted before anything is sorted, so a value that fills a
     third of the table is one row of the ranking.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    falling = counted.withColumn("_key", -F.col(value))
-    falling = _with_range_bucket(falling, "_key", buckets)
+    present = df.filter(F.col(value).isNotNull())
+    counted = present.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    bounds = _range_bounds(present.select((-F.col(value)).alias("_key")), "_key", rows_per_bucket)
+    falling = _with_range_bucket(counted.withColumn("_key", -F.col(value)), "_key", bounds)
     starts = _bucket_starts(falling, [_EVERYTHING], F.sum("_n"))
     inside = W.partitionBy("_bucket").orderBy("_key").rowsBetween(W.unboundedPreceding, -1)
     ranked = _with_starts(falling, starts, [_EVERYTHING]).select(

@@ -100,28 +100,28 @@ def stratified_folds(df: DataFrame, label: str, key: list[str], k: int = 5, seed
 
 
 def pick_from_pool(
-    df: DataFrame, key: str, pool: DataFrame, value: str, low: int, high: int,
-    seed: int = SEED, pool_limit: int = 10_000,
+    df: DataFrame, key: str, pool: DataFrame, value: str, low: int, high: int, seed: int = SEED,
 ) -> DataFrame:
     """``low``..``high`` different pool values per row, one output row per value.
 
-    The pool is a short list that travels with each task; a longer one than
-    ``pool_limit`` fails the job. Rows are never shuffled.
+    Each row draws distinct places in the pool from hashes of its key: the k-th
+    draw is among the places up to ``size - wanted + k``, and a place that is
+    already taken is replaced by the last of them, which cannot be taken yet.
+    The places, not the pool, are then joined, evenly over the pool.
     """
-    short = pool.select(value).distinct().limit(pool_limit + 1)
-    members = short.agg(F.array_sort(F.collect_list(value)).alias("m")).select(
-        F.when(F.size("m") <= pool_limit, F.col("m")).otherwise(
-            F.raise_error(F.lit("the pool is longer than its limit"))
-        )
-    )
-    mark = order_hash(seed, F.col(key))
-    wanted = F.lit(low) + (F.conv(F.substring(mark, 1, 6), 16, 10).cast("int") % (high - low + 1))
-    shuffled = F.array_sort(F.transform(
-        "_pool",
-        lambda v: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), v)).alias("h"), v.alias("v")),
+    named = pool.select(F.col(value).alias("picked")).filter(F.col("picked").isNotNull()).distinct()
+    numbered = rank_by_hash(named.withColumn("_h", order_hash("pool", F.col("picked"))), [], "_h", "_place").drop("_h")
+    size = named.agg(F.count(F.lit(1))).scalar()
+    text = f"concat_ws('|', '{seed}', CAST(`{key}` AS STRING)"
+    number = lambda digest: f"CAST(conv(substring({digest}, 1, 8), 16, 10) AS BIGINT)"
+    drawn = df.withColumn("_size", size).withColumn("_wanted", F.expr(
+        f"least(_size, {low} + {number(f'md5({text}))')} % {high - low + 1})"
     ))
-    return (
-        df.withColumn("_pool", members.scalar())
-        .select(*df.columns, F.explode(F.slice(shuffled, F.lit(1), wanted)).alias("_pick"))
-        .select(*df.columns, F.col("_pick.v").alias("picked"))
+    last = "(_size - _wanted + k)"
+    draw = f"({number(f'md5({text}, CAST(k AS STRING)))')} % {last} + 1)"
+    places = F.expr(
+        f"aggregate(sequence(1L, _wanted), CAST(array() AS ARRAY<BIGINT>), (taken, k) -> "
+        f"array_append(taken, IF(array_contains(taken, {draw}), {last}, {draw})))"
     )
+    exploded = drawn.filter(F.col("_wanted") > 0).select(*df.columns, F.explode(places).alias("_place"))
+    return exploded.join(numbered, "_place").select(*df.columns, "picked")

@@ -65,12 +65,22 @@ def cast_picks(spark, folder):
     return pick_from_pool(orders, "o_orderkey", nations, "n_name", 2, 5)
 
 
-PICKS_SQL = """WITH ranked AS (
-  SELECT o_orderkey, n_name, row_number() OVER (PARTITION BY o_orderkey
-    ORDER BY md5('42|' || o_orderkey || '|' || n_name), n_name) AS rn
-  FROM orders CROSS JOIN (SELECT DISTINCT n_name FROM nation))
-SELECT o_orderkey, n_name AS picked FROM ranked
-WHERE rn <= 2 + ('0x' || substr(md5('42|' || o_orderkey), 1, 6))::INTEGER % 4"""
+def _picks_sql(low: int, high: int) -> str:
+    """The draws one after another: place k, or the last possible place when it is taken."""
+    number = lambda text: f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
+    steps = [f"""d0 AS (SELECT o_orderkey, (SELECT count(DISTINCT n_name) FROM nation) AS size,
+  {low} + {number("'42|' || o_orderkey")} % {high - low + 1} AS wanted FROM orders)"""]
+    for k in range(1, high + 1):
+        taken = " OR ".join(f"t = p{i}" for i in range(1, k)) or "false"
+        steps.append(f"""d{k} AS (SELECT * EXCLUDE (t), CASE WHEN {taken} THEN size - wanted + {k} ELSE t END AS p{k} FROM (
+  SELECT * FROM (SELECT *, {number(f"'42|' || o_orderkey || '|{k}'")} % (size - wanted + {k}) + 1 AS t FROM d{k - 1})))""")
+    chosen = "\nUNION ALL\n".join(f"SELECT o_orderkey, p{k} AS place FROM d{high} WHERE wanted >= {k}" for k in range(1, high + 1))
+    return f"""WITH {", ".join(steps)},
+pool AS (SELECT n_name AS picked, row_number() OVER (ORDER BY md5('pool|' || n_name)) AS place FROM (SELECT DISTINCT n_name FROM nation))
+SELECT o_orderkey, picked FROM ({chosen}) JOIN pool USING (place)"""
+
+
+PICKS_SQL = _picks_sql(2, 5)
 
 
 def sequential_ids(spark, folder):

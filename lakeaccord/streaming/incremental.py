@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import todo_pairs
@@ -19,7 +19,7 @@ def label_unseen(pairs: DataFrame, label: LabelFn, path: str, model: str, combo:
     ``label`` maps pairs to (pair_id, pred). Files of an append show up only
     when its job commits, so a lost executor or an aborted job leaves whole
     earlier appends and no partial one; running again labels the rest. The
-    number of pairs that were still open is returned; at zero nothing is written.
+    number of pairs labelled now is returned; at zero no file is written.
     """
     spark = pairs.sparkSession
     done = read_predictions(spark, path).filter(
@@ -27,13 +27,12 @@ def label_unseen(pairs: DataFrame, label: LabelFn, path: str, model: str, combo:
     )
     known = pairs.withColumn("_id", F.col("pair_id").cast("string"))
     todo = todo_pairs(known, done.withColumnRenamed("pair_id", "_id"), ["_id"]).drop("_id")
-    open_pairs = todo.count()
-    if open_pairs:
-        labelled = label(todo).select(
-            "pair_id", "pred", F.lit(model).alias("model"), F.lit(combo).alias("combo"), F.lit(run).alias("run")
-        )
-        append_predictions(labelled, path)
-    return open_pairs
+    labelled = label(todo).select(
+        "pair_id", "pred", F.lit(model).alias("model"), F.lit(combo).alias("combo"), F.lit(run).alias("run")
+    )
+    written = Observation()
+    append_predictions(labelled.observe(written, F.count(F.lit(1)).alias("rows")), path)
+    return written.get["rows"]
 
 
 def finished_runs(spark: SparkSession, pairs: DataFrame, path: str) -> DataFrame:

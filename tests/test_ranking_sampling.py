@@ -47,10 +47,18 @@ def test_keep_smallest(spark, quota):
 def test_row_numbers_follow_the_key(spark, kind):
     keys = random.Random(3).sample(range(-10**9, 10**9), 3000)
     df = spark.createDataFrame([(k if kind == "bigint" else float(k),) for k in keys], f"k {kind}")
-    numbered = {int(r["k"]): r["row_number"] for r in row_numbers(df.repartition(7), "k", buckets=64).collect()}
+    numbered = {int(r["k"]): r["row_number"] for r in row_numbers(df.repartition(7), "k", rows_per_bucket=50).collect()}
     assert numbered == {k: i for i, k in enumerate(sorted(keys), 1)}
 
 
+def test_row_numbers_with_extreme_and_clustered_keys(spark):
+    keys = [float("-inf"), float("inf"), None] + [1e300, -1e300] + [i / 1000 for i in range(500)] + [1e6 + i for i in range(500)]
+    df = spark.createDataFrame([(k,) for k in keys], "k double")
+    numbered = {r["k"]: r["row_number"] for r in row_numbers(df.repartition(3), "k", rows_per_bucket=10).collect()}
+    ordered = [None] + sorted(k for k in keys if k is not None)
+    assert numbered == {k: i for i, k in enumerate(ordered, 1)}
+
+
 def test_row_numbers_of_an_empty_table(spark):
     assert row_numbers(spark.createDataFrame([], "k bigint"), "k").collect() == []
 
@@ -59,7 +67,7 @@ def test_row_numbers_of_an_empty_table(spark):
 @given(values=st.lists(st.integers(-5, 5), min_size=1, max_size=40))
 def test_rank_with_ties(spark, values):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
-    ranked = rank_with_ties(df, "v", "r", buckets=8)
+    ranked = rank_with_ties(df, "v", "r", rows_per_bucket=4)
     assert {r["i"]: r["r"] for r in ranked.collect()} == {
         i: 1 + sum(w > v for w in values) for i, v in enumerate(values)
     }
@@ -122,5 +130,15 @@ def test_picks_differ_and_respect_the_limits(spark):
     assert len(picks) == 200
     assert all(2 <= len(p) <= 5 and len(set(p)) == len(p) for p in picks.values())
     assert len({len(p) for p in picks.values()}) == 4
-    with pytest.raises(Exception, match="longer than its limit"):
-        pick_from_pool(groups, "g", pool, "actor", 2, 5, pool_limit=10).collect()
+    counts = Counter(v for p in picks.values() for v in p)
+    assert len(counts) == 80 and max(counts.values()) < 30
+
+
+def test_picks_from_a_pool_that_is_too_short(spark):
+    groups = spark.range(20).withColumnRenamed("id", "g")
+    pool = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "v string")
+    picks = defaultdict(set)
+    for r in pick_from_pool(groups, "g", pool, "v", 2, 5).collect():
+        picks[r["g"]].add(r["picked"])
+    assert len(picks) == 20 and all(p == {"a", "b"} for p in picks.values())
+    assert pick_from_pool(groups, "g", pool.limit(0), "v", 2, 5).count() == 0
