@@ -182,7 +182,7 @@ def size_members(truth: DataFrame, sizes: list[int], key: str = "pair_id", seed:
         .filter(F.col("_rank") <= F.greatest(F.lit(1).cast("bigint"), wanted))
         .withColumn("_mix", order_hash(f"{seed}-mix", F.col(key)))
     )
-    cut = keep_smallest(picked, ["size"], "_mix", F.col("size").cast("bigint"))
+    cut = keep_smallest(picked, ["size"], "_mix", F.col("_group.size").cast("bigint"))
     return cut.drop("_pick", "_rank", "_of", "_mix")
 
 

@@ -16,33 +16,40 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket
 
-_EVERYTHING = "_all"
 RANGE_BUCKETS = 1024       # quantiles fetched to the driver
 CELL_PARTS = 64            # equal widths between two quantiles
 ROWS_PER_BUCKET = 1_000_000
 
 
-def _bucket_starts(rows: DataFrame, group: list[str], weight: Column) -> DataFrame:
-    """Per (group, bucket): rows in it, rows before it and rows of the group.
+def _with_group(df: DataFrame, group: list[str]) -> DataFrame:
+    """Adds the group as one struct: never null, so a null label is a group too.
 
-    The window runs over at most one row per bucket of a group.
+    Joins and windows then name the same two keys, and share one shuffle.
     """
-    sizes = rows.groupBy(*group, "_bucket").agg(weight.cast("bigint").alias("_in"))
-    whole = W.partitionBy(*group)
+    return df.withColumn("_group", F.struct(*group) if group else F.struct(F.lit(0).alias("all")))
+
+
+def _bucket_starts(rows: DataFrame, weight: Column) -> DataFrame:
+    """Per group and bucket the rows before it, and the rows of the group.
+
+    The windows run over at most one row per bucket of a group.
+    """
+    sizes = rows.groupBy("_group", "_bucket").agg(weight.cast("bigint").alias("_in"))
+    whole = W.partitionBy("_group")
     before = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    return (
-        sizes.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
-        .withColumn("_group_rows", F.sum("_in").over(whole))
+    return sizes.select(
+        "_group", "_bucket", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"),
+        F.sum("_in").over(whole).alias("_group_rows"),
     )
 
 
-def _with_starts(rows: DataFrame, starts: DataFrame, group: list[str]) -> DataFrame:
-    keys = [*group, "_bucket"]
-    side = starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_before", "_group_rows")
-    condition = F.lit(True)
-    for i, k in enumerate(keys):
-        condition = condition & rows[k].eqNullSafe(side[f"_k{i}"])
-    return rows.join(side, condition, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
+def _ranked(rows: DataFrame, starts: DataFrame, order: str, out: str) -> DataFrame:
+    """Row number within the group: rows of earlier buckets plus the place in the own one."""
+    inside = W.partitionBy("_group", "_bucket").orderBy(order)
+    return rows.join(starts, ["_group", "_bucket"]).withColumn(out, F.col("_before") + F.row_number().over(inside))
+
+
+_HELPERS = ["_group", "_bucket", "_before", "_group_rows"]
 
 
 def rank_by_hash(
@@ -54,38 +61,32 @@ def rank_by_hash(
     every group, hot or not, into equal buckets. ``group_rows`` names a column
     for the size of the group.
     """
-    group = group or [_EVERYTHING]
-    rows = df.withColumn("_bucket", hash_bucket(F.col(digest)))
-    if group == [_EVERYTHING]:
-        rows = rows.withColumn(_EVERYTHING, F.lit(0))
-    starts = _bucket_starts(rows, group, F.count(F.lit(1)))
-    inside = W.partitionBy(*group, "_bucket").orderBy(digest)
-    ranked = _with_starts(rows, starts, group).withColumn(out, F.col("_before") + F.row_number().over(inside))
+    rows = _with_group(df, group).withColumn("_bucket", hash_bucket(F.col(digest)))
+    ranked = _ranked(rows, _bucket_starts(rows, F.count(F.lit(1))), digest, out)
     if group_rows:
         ranked = ranked.withColumn(group_rows, F.col("_group_rows"))
-    return ranked.drop("_bucket", "_before", "_group_rows", _EVERYTHING)
+    return ranked.drop(*_HELPERS)
 
 
 def keep_smallest(df: DataFrame, group: list[str], digest: str, quota: Column) -> DataFrame:
     """The ``quota`` rows of each group that come first in digest order.
 
-    ``quota`` may use ``_group_rows``, the size of the group. Buckets beyond the
-    quota are dropped before the shuffle, so only about the kept rows move.
+    ``quota`` may use ``_group_rows``, the size of the group. Per group one row
+    says in which bucket the quota is reached; rows of later buckets go no
+    further, and only the kept ones are shuffled and, in that bucket, ranked.
     """
-    group = group or [_EVERYTHING]
-    rows = df.withColumn("_bucket", hash_bucket(F.col(digest)))
-    if group == [_EVERYTHING]:
-        rows = rows.withColumn(_EVERYTHING, F.lit(0))
-    starts = _bucket_starts(rows, group, F.count(F.lit(1)))
-    inside = W.partitionBy(*group, "_bucket").orderBy(digest)
-    return (
-        _with_starts(rows, starts, group)
-        .withColumn("_quota", quota)
-        .filter(F.col("_before") < F.col("_quota"))
-        .withColumn("_rank", F.col("_before") + F.row_number().over(inside))
-        .filter(F.col("_rank") <= F.col("_quota"))
-        .drop("_bucket", "_before", "_group_rows", "_quota", "_rank", _EVERYTHING)
+    rows = _with_group(df, group).withColumn("_bucket", hash_bucket(F.col(digest)))
+    filled = _bucket_starts(rows, F.count(F.lit(1))).withColumn("_left", quota - F.col("_before")).filter(F.col("_left") > 0)
+    last = filled.groupBy("_group").agg(
+        F.max("_bucket").alias("_last"), F.max_by("_left", "_bucket").alias("_left")
+    )
+    inside = W.partitionBy("_group", "_bucket").orderBy(digest)
+    kept = (
+        rows.join(last, "_group").filter(F.col("_bucket") <= F.col("_last"))
+        .withColumn("_rank", F.row_number().over(inside))
+        .filter((F.col("_bucket") < F.col("_last")) | (F.col("_rank") <= F.col("_left")))
     )
+    return kept.drop("_last", "_left", "_rank", *_HELPERS)
 
 
 def _range_bounds(df: DataFrame, key: str, rows_per_bucket: int) -> list[float]:
@@ -110,7 +111,7 @@ def _with_range_bucket(rows: DataFrame, key: str, bounds: list[float]) -> DataFr
     in key order.
     """
     if len(bounds) < 2:
-        return rows.withColumn("_bucket", F.lit(0)).withColumn(_EVERYTHING, F.lit(0))
+        return _with_group(rows, []).withColumn("_bucket", F.lit(0))
     literal = "array(" + ", ".join(f"{b!r}D" for b in bounds) + ")"
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     value = f"CAST(`{key}` AS DOUBLE)"
@@ -120,9 +121,7 @@ def _with_range_bucket(rows: DataFrame, key: str, bounds: list[float]) -> DataFr
     ))
     low, high = f"get({literal}, _cell - 1)", f"get({literal}, _cell)"
     part = f"coalesce(least({CELL_PARTS - 1}, CAST(({value} - {low}) / ({high} - {low}) * {CELL_PARTS} AS INT)), 0)"
-    return (
-        found.withColumn("_bucket", F.expr(f"_cell * {CELL_PARTS} + {part}")).drop("_cell").withColumn(_EVERYTHING, F.lit(0))
-    )
+    return _with_group(found, []).withColumn("_bucket", F.expr(f"_cell * {CELL_PARTS} + {part}")).drop("_cell")
 
 
 def row_numbers(df: DataFrame, key: str, out: str = "row_number", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -132,13 +131,7 @@ def row_numbers(df: DataFrame, key: str, out: str = "row_number", rows_per_bucke
     per range from the key column alone and shuffled once, by range.
     """
     rows = _with_range_bucket(df, key, _range_bounds(df, key, rows_per_bucket))
-    starts = _bucket_starts(rows, [_EVERYTHING], F.count(F.lit(1)))
-    inside = W.partitionBy("_bucket").orderBy(key)
-    return (
-        _with_starts(rows, starts, [_EVERYTHING])
-        .withColumn(out, F.col("_before") + F.row_number().over(inside))
-        .drop("_bucket", "_before", "_group_rows", _EVERYTHING)
-    )
+    return _ranked(rows, _bucket_starts(rows, F.count(F.lit(1))), key, out).drop(*_HELPERS)
 
 
 def rank_with_ties(df: DataFrame, value: str, out: str = "rank", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -151,9 +144,9 @@ def rank_with_ties(df: DataFrame, value: str, out: str = "rank", rows_per_bucket
     counted = present.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     bounds = _range_bounds(present.select((-F.col(value)).alias("_key")), "_key", rows_per_bucket)
     falling = _with_range_bucket(counted.withColumn("_key", -F.col(value)), "_key", bounds)
-    starts = _bucket_starts(falling, [_EVERYTHING], F.sum("_n"))
-    inside = W.partitionBy("_bucket").orderBy("_key").rowsBetween(W.unboundedPreceding, -1)
-    ranked = _with_starts(falling, starts, [_EVERYTHING]).select(
+    starts = _bucket_starts(falling, F.sum("_n"))
+    inside = W.partitionBy("_group", "_bucket").orderBy("_key").rowsBetween(W.unboundedPreceding, -1)
+    ranked = falling.join(starts, ["_group", "_bucket"]).select(
         F.col(value).alias("_value"),
         (F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1).alias(out),
     )

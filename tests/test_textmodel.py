@@ -31,7 +31,7 @@ def weights(texts):
 
 def test_terms_and_weights(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
-    got = {r["id"]: r["t"] for r in df.select("id", tm.terms(F.col("text")).alias("t")).collect()}
+    got = {r["id"]: r["t"] for r in df.select("id", tm.terms(tm.tokens(F.col("text"))).alias("t")).collect()}
     assert {i: sorted(t) for i, t in got.items()} == {i: sorted(terms(t)) for i, t in enumerate(TEXTS)}
     found = {(r["id"], r["term"]): r["weight"] for r in tm.tfidf_weights(df, "id", "text").collect()}
     expected = weights(TEXTS)
