@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BUCKET_DIGITS = 4
-BUCKETS = 16 ** BUCKET_DIGITS
+LAST_BUCKET = "f" * BUCKET_DIGITS
 
 
 def order_hash(seed: int | str, *key: Column) -> Column:
@@ -13,7 +13,7 @@ def order_hash(seed: int | str, *key: Column) -> Column:
 
 def hash_bucket(digest: Column) -> Column:
     """The first digits of a digest: equal shares of rows, in digest order."""
-    return F.conv(F.substring(digest, 1, BUCKET_DIGITS), 16, 10).cast("int")
+    return F.substring(digest, 1, BUCKET_DIGITS)
 
 
 LONG_VALUE = 64  # bytes; as long as the digest that stands for a longer value

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import BUCKETS, hash_bucket, order_hash
+from ..functions.hashing import LAST_BUCKET, hash_bucket, order_hash
 from ..functions.text import as_text
 from .ranking import keep_smallest, rank_by_hash
 
@@ -32,7 +32,7 @@ def _cutoffs(hashed: DataFrame, columns: list[str], n: int) -> DataFrame:
     """
     counts = hashed.groupBy("_bucket").agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)])
     upto = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = F.lit(BUCKETS - 1)
+    last = F.lit(LAST_BUCKET)
     firsts = []
     summed = counts.select("_bucket", *[F.sum(f"_n{i}").over(upto).alias(f"_n{i}") for i in range(len(columns))])
     for i in range(len(columns)):
