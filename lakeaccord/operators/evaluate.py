@@ -145,6 +145,16 @@ def mean_and_std(rounded: DataFrame, group: list[str], count: str) -> DataFrame:
     return rounded.groupBy(*group).agg(*parts)
 
 
+def with_earlier_run(runs: DataFrame, summary: DataFrame, combo: str, run: int = 1) -> DataFrame:
+    """Fresh runs of one combination plus its row of an earlier summary as one more run."""
+    earlier = summary.filter(F.col("combo") == combo)
+    parts = [
+        df.select("model", "combo", F.lit(number).cast("int").alias("run") if number else "run", F.lit(source).alias("source"), *MACRO)
+        for df, number, source in ((earlier, run, "earlier summary"), (runs.filter(F.col("combo") == combo), None, "fresh run"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def compare_models(summary: DataFrame, models: list[str]) -> DataFrame:
     """Models side by side per combination."""
     wide = summary.groupBy("combo").pivot("model", models).agg(

@@ -262,6 +262,22 @@ REPEAT_SQL = f"""WITH {_cte(RUNS)}, {_scores_sql()}, r AS (SELECT model, combo,
 SELECT model, combo, count(*) AS n_runs, {_MEANS} FROM r GROUP BY model, combo"""
 
 
+def repeat_with_history(spark, folder):
+    """Run one of each model taken from a stored summary, runs two to five evaluated anew."""
+    path = fresh_path(spark, "history")
+    first = ev.macro_report(_scores(spark, folder), RUN)
+    write_summary(first, path)
+    earlier = read_summary(spark, path, first.schema.simpleString()[7:-1].replace(":", " "))
+    fresh = ev.macro_report(_scores(spark, folder, RUNS), RUN).filter(F.col("run") > 1)
+    runs = ev.with_earlier_run(fresh, earlier, "DLS")
+    sources = runs.groupBy("model").agg(F.count_if(F.col("source") == "earlier summary").alias("earlier_runs"))
+    return ev.mean_and_std(runs, ["model", "combo"], "n_runs").join(sources, "model")
+
+
+HISTORY_SQL = f"""WITH {_cte(RUNS)}, {_scores_sql()}, r AS (SELECT model, combo, run, {_MACRO} FROM scores WHERE combo = 'DLS')
+SELECT model, combo, count(*) AS n_runs, {_MEANS}, count(*) FILTER (run = 1) AS earlier_runs FROM r GROUP BY model, combo"""
+
+
 def _folded(spark, folder):
     preds = predictions(spark, folder).filter(F.col("combo") == "DLSV")
     folds = stratified_folds(truth(spark, folder), "label", ["pair_id"])
@@ -337,6 +353,7 @@ QUERIES = {
     "best_combo": (best_combo, BEST_SQL),
     "size_robustness": (size_robustness, SIZE_SQL),
     "repeat_summary": (repeat_summary, REPEAT_SQL),
+    "repeat_with_history": (repeat_with_history, HISTORY_SQL),
     "fold_summary": (fold_summary, FOLD_SQL),
     "pooled_report": (pooled_report, POOLED_SQL),
     "resume_run": (resume_run, RESUME_SQL),
