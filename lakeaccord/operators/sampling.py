@@ -6,38 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import LAST_BUCKET, hash_bucket, order_hash
+from ..functions.hashing import BUCKET_DIGITS, LAST_BUCKET, order_hash
 from ..functions.text import as_text
 from .ranking import keep_smallest, rank_by_hash
 
 SEED = 42
 EVIDENCE_SAMPLE = 10
 MANIFEST_SAMPLE = 6
+TABLE_DIGITS = 2  # digest prefix counted per table when one frame holds many
 
 
 def _cells(df: DataFrame, columns: list[str], keep: dict[str, Column]) -> Column:
     """One (column, text value) struct per column; a cell outside ``keep`` is null."""
-    cells = []
-    for name in columns:
-        text = as_text(F.col(name), df.schema[name].dataType)
-        kept = F.when(keep[name], text) if name in keep else text
-        cells.append(F.struct(F.lit(name).alias("col_name"), kept.alias("value")))
-    return F.inline(F.array(*cells))
+    return F.inline(F.array(*[
+        F.struct(
+            F.lit(name).alias("col_name"),
+            F.when(keep[name], as_text(F.col(name), df.schema[name].dataType)).alias("value"),
+        )
+        for name in columns
+    ]))
 
 
-def _cutoffs(hashed: DataFrame, columns: list[str], n: int) -> DataFrame:
-    """One row: per column the digest bucket in which its n-th value lies.
+def _cutoffs(hashed: DataFrame, columns: list[str], n: int, group: list[str]) -> DataFrame:
+    """Per table, for each column the digest prefix in which its n-th value lies.
 
-    A column with fewer than ``n`` values keeps all its buckets.
+    A column with fewer than ``n`` values keeps all its rows. The windows run
+    over at most one row per prefix of a table.
     """
-    counts = hashed.groupBy("_bucket").agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)])
-    upto = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = F.lit(LAST_BUCKET)
-    firsts = []
-    summed = counts.select("_bucket", *[F.sum(f"_n{i}").over(upto).alias(f"_n{i}") for i in range(len(columns))])
-    for i in range(len(columns)):
-        firsts.append(F.coalesce(F.min(F.when(F.col(f"_n{i}") >= n, F.col("_bucket"))), last))
-    return summed.agg(F.array(*firsts).alias("cutoffs"))
+    counts = hashed.groupBy(*group, "_bucket").agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)])
+    upto = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = counts.select(*group, "_bucket", *[F.sum(f"_n{i}").over(upto).alias(f"_n{i}") for i in range(len(columns))])
+    firsts = [
+        F.coalesce(F.min(F.when(F.col(f"_n{i}") >= n, F.col("_bucket"))), F.lit(LAST_BUCKET)) for i in range(len(columns))
+    ]
+    return summed.groupBy(*group).agg(F.array(*firsts).alias("_cut"))
 
 
 def sample_values(
@@ -50,23 +52,27 @@ def sample_values(
 ) -> DataFrame:
     """Up to ``n`` non-null values per (table, column), without replacement.
 
-    ``table`` is a name, or a column when one frame holds many tables. For one
-    table a first pass counts values per digest bucket, so that the second only
-    writes out and sorts the cells that can be among the first ``n``. Ranking to
-    a constant is cut to ``n`` rows per column on the map side of the shuffle.
+    ``table`` is a name, or a column when one frame holds many tables. A first
+    pass counts values per digest prefix, so that the second only writes out and
+    sorts the cells that can be among the first ``n``. Ranking to a constant is
+    cut to ``n`` rows per column on the map side of the shuffle.
     """
-    hashed = df.withColumn("_h", order_hash(seed, *[F.col(k) for k in key]))
-    keep: dict[str, Column] = {}
-    if isinstance(table, str):
-        hashed = hashed.withColumn("_bucket", hash_bucket(F.col("_h")))
-        cut = _cutoffs(hashed, columns, n)
-        hashed = hashed.withColumn("_cut", cut.scalar()).filter(F.col("_bucket") <= F.array_max("_cut"))
-        keep = {c: F.col("_bucket") <= F.get("_cut", i) for i, c in enumerate(columns)}
-        table = F.lit(table)
-    named = hashed.withColumn("table_name", table)
+    many = not isinstance(table, str)
+    name = table if many else F.lit(table)
+    digest = order_hash(seed, *[F.col(k) for k in key])
+    hashed = df.select(*columns, name.alias("table_name"), digest.alias("_h")).withColumn(
+        "_bucket", F.substring("_h", 1, TABLE_DIGITS if many else BUCKET_DIGITS)
+    )
+    if many:
+        cut = _cutoffs(hashed, columns, n, ["table_name"])
+        limited = hashed.join(cut, "table_name")
+    else:
+        limited = hashed.withColumn("_cut", _cutoffs(hashed, columns, n, []).scalar())
+    limited = limited.filter(F.col("_bucket") <= F.array_max("_cut"))
+    keep = {c: F.col("_bucket") <= F.get("_cut", i) for i, c in enumerate(columns)}
     ordered = W.partitionBy("table_name", "col_name").orderBy("_h", "value")
     picked = (
-        named.select("table_name", "_h", _cells(df, columns, keep))
+        limited.select("table_name", "_h", _cells(df, columns, keep))
         .filter(F.col("value").isNotNull())
         .withColumn("_rank", F.row_number().over(ordered))
         .filter(F.col("_rank") <= n)
