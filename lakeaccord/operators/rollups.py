@@ -7,34 +7,41 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_even, truncate_to_long
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(18,2)"  # for amounts that are whole cents
 
 
-def money(value: Column) -> Column:
-    """Exact cents, so that a sum does not depend on the order of rows."""
-    return value.cast(MONEY)
+def _amount(name: str, as_type: str | None) -> Column:
+    """The amount to add up.
+
+    A decimal type that holds every digit of the amounts makes sums exact, and
+    so independent of the order of rows; without one, numbers are added as they are.
+    """
+    return F.col(name).cast(as_type) if as_type else F.col(name)
 
 
-def group_summary(df: DataFrame, keys: list[str], amount: str, count: str, total: str, average: str) -> DataFrame:
+def group_summary(
+    df: DataFrame, keys: list[str], amount: str, count: str, total: str, average: str, as_type: str | None = None,
+) -> DataFrame:
     """Rows, sum and truncated mean of an amount per group."""
     summed = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias(count), F.sum(money(F.col(amount))).cast("double").alias(total)
+        F.count(F.lit(1)).alias(count), F.sum(_amount(amount, as_type)).cast("double").alias(total)
     )
     return summed.withColumn(average, truncate_to_long(F.col(total) / F.col(count)))
 
 
 def summary_through_key(
     facts: DataFrame, fact_key: str, amount: str, dimension: DataFrame, dimension_key: str, by: str,
+    as_type: str | None = None,
 ) -> DataFrame:
     """Rows, sum and truncated mean per dimension attribute.
 
     Facts are added up per key before they are joined, so a key that holds a
     third of the facts is one row of the join.
     """
-    per_key = facts.groupBy(fact_key).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(money(F.col(amount))).alias("_sum")
+    per_key = facts.groupBy(F.col(fact_key).alias("_key")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(_amount(amount, as_type)).alias("_sum")
     )
-    joined = per_key.join(dimension.select(dimension_key, by), per_key[fact_key] == dimension[dimension_key])
+    joined = per_key.join(dimension.select(F.col(dimension_key).alias("_key"), by), "_key")
     summed = joined.groupBy(by).agg(
         F.sum("_n").alias("total_count"), F.sum("_sum").cast("double").alias("total_amount")
     )
@@ -49,22 +56,23 @@ def count_and_distinct(df: DataFrame, key: str, value: str, count: str, distinct
 
 def summary_with_fallback(
     entities: DataFrame, entity_key: str, capacity: str, facts: DataFrame, fact_key: str, amount: str,
-    share: float = 0.78,
+    share: float = 0.78, as_type: str | None = None,
 ) -> DataFrame:
     """Truncated mean and count of facts per entity, and their product as the total.
 
     An entity without facts gets ``share`` of its capacity as mean and a zero count.
     """
-    per_key = facts.groupBy(fact_key).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg(money(F.col(amount))).cast("double").alias("_mean")
+    per_key = facts.groupBy(F.col(fact_key).alias("_key")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.try_divide(F.sum(_amount(amount, as_type)).cast("double"), F.count(amount).cast("double")).alias("_mean"),
     )
-    joined = entities.join(per_key, entities[entity_key] == per_key[fact_key], "left")
+    joined = entities.join(per_key, entities[entity_key] == per_key["_key"], "left")
     fallback = truncate_to_long(F.col(capacity).cast("double") * F.lit(share))
     return (
         joined.withColumn("avg_amount", F.coalesce(truncate_to_long(F.col("_mean")), fallback))
         .withColumn("fact_count", F.coalesce("_n", F.lit(0).cast("bigint")))
         .withColumn("total_amount", F.col("avg_amount") * F.col("fact_count"))
-        .drop("_n", "_mean", fact_key)
+        .drop("_n", "_mean", "_key")
     )
 
 
@@ -81,14 +89,16 @@ def period_label(ts: Column, period: str) -> Column:
     raise ValueError(f"no such period: {period}")
 
 
-def temporal_rollup(df: DataFrame, keys: list[str], ts: str, amount: str, periods: list[str]) -> DataFrame:
+def temporal_rollup(
+    df: DataFrame, keys: list[str], ts: str, amount: str, periods: list[str], as_type: str | None = None,
+) -> DataFrame:
     """Sum, mean and rows per key and period, for several periods from one pass.
 
     Rows are added up per day first; only the daily sums are copied per period.
     """
     day = F.to_date(F.col(ts)).alias("_day")
     daily = df.groupBy(*keys, day).agg(
-        F.sum(money(F.col(amount))).alias("_sum"), F.count(amount).alias("_n")
+        F.sum(_amount(amount, as_type)).alias("_sum"), F.count(amount).alias("_n")
     )
     labels = F.array(*[
         F.struct(F.lit(p).alias("grain"), period_label(F.col("_day"), p).alias("period")) for p in periods
@@ -97,14 +107,16 @@ def temporal_rollup(df: DataFrame, keys: list[str], ts: str, amount: str, period
         daily.select(*keys, "_sum", "_n", F.inline(labels))
         .groupBy(*keys, "grain", "period")
         .agg(F.sum("_sum").cast("double").alias("sum_amount"), F.sum("_n").alias("row_count"))
-        .withColumn("avg_amount", F.col("sum_amount") / F.col("row_count"))
+        .withColumn("avg_amount", F.try_divide(F.col("sum_amount"), F.col("row_count").cast("double")))
     )
 
 
-def average_per_group(df: DataFrame, keys: list[str], value: str, digits: int = 1, out: str = "average") -> DataFrame:
-    """Rounded mean; summed as decimal so that ties do not depend on row order."""
-    exact = F.avg(F.col(value).cast("decimal(18,4)")).cast("double")
-    return df.groupBy(*keys).agg(F.bround(exact, digits).alias(out))
+def average_per_group(
+    df: DataFrame, keys: list[str], value: str, digits: int = 1, out: str = "average", as_type: str | None = None,
+) -> DataFrame:
+    """Mean rounded half-even; with an exact type, ties do not depend on row order."""
+    mean = F.try_divide(F.sum(_amount(value, as_type)).cast("double"), F.count(value).cast("double"))
+    return df.groupBy(*keys).agg(F.bround(mean, digits).alias(out))
 
 
 def bin_label(index: Column, width: int, last: int) -> Column:

@@ -12,6 +12,7 @@ from ..functions import (
 )
 from ..labels import LABELS
 from ..operators.rollups import (
+    MONEY,
     average_per_group, bin_label, coarsen_bins, count_and_distinct, fine_bins, group_summary, join_codes,
     period_label, share_of_total, summary_through_key, summary_with_fallback, temporal_rollup, unique_names,
     variants,
@@ -24,7 +25,7 @@ from ..sources.lake import table
 def brand_summary(spark, folder):
     return summary_through_key(
         table(spark, folder, "lineitem"), "l_partkey", "l_extendedprice",
-        table(spark, folder, "part"), "p_partkey", "p_brand",
+        table(spark, folder, "part"), "p_partkey", "p_brand", MONEY,
     )
 
 
@@ -36,7 +37,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand"""
 
 def status_summary(spark, folder):
     orders = table(spark, folder, "orders")
-    return group_summary(orders, ["o_orderstatus", "o_orderpriority"], "o_totalprice", "total_orders", "total_sales", "avg_sales")
+    return group_summary(orders, ["o_orderstatus", "o_orderpriority"], "o_totalprice", "total_orders", "total_sales", "avg_sales", MONEY)
 
 
 STATUS_SQL = """SELECT o_orderstatus, o_orderpriority, count(*) AS total_orders,
@@ -56,7 +57,7 @@ FROM events GROUP BY user_id"""
 def rollup_fallback(spark, folder):
     customer = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
     return summary_with_fallback(
-        customer, "c_custkey", "c_acctbal", table(spark, folder, "events"), "user_id", "value"
+        customer, "c_custkey", "c_acctbal", table(spark, folder, "events"), "user_id", "value", as_type=MONEY
     )
 
 
@@ -74,7 +75,7 @@ _PERIODS = ["week", "month", "quarter", "year"]
 
 def temporal(spark, folder):
     orders = table(spark, folder, "orders")
-    return temporal_rollup(orders, ["o_orderstatus"], "o_orderdate", "o_totalprice", _PERIODS)
+    return temporal_rollup(orders, ["o_orderstatus"], "o_orderdate", "o_totalprice", _PERIODS, MONEY)
 
 
 _PERIOD_SQL = {
@@ -93,7 +94,7 @@ FROM orders GROUP BY ALL""" for p in _PERIODS
 
 def annual_average(spark, folder):
     events = table(spark, folder, "events").withColumn("year", F.year("ts"))
-    return average_per_group(events, ["user_id", "year"], "value", 1, "annual_avg")
+    return average_per_group(events, ["user_id", "year"], "value", 1, "annual_avg", "decimal(18,4)")
 
 
 ANNUAL_SQL = """SELECT user_id, year(ts)::INTEGER AS year,

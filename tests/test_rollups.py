@@ -16,6 +16,15 @@ def test_group_summary_truncates_the_mean(spark):
     ]
 
 
+def test_amounts_keep_their_digits(spark):
+    df = spark.createDataFrame([("a", 0.125), ("a", 0.375)], "k string, v double")
+    assert ru.group_summary(df, ["k"], "v", "n", "total", "mean").first()["total"] == 0.5
+    whole = spark.createDataFrame([("a", 2**60), ("a", 1)], "k string, v bigint")
+    entities = spark.createDataFrame([("a", 10.0), ("b", 10.0)], "k string, capacity double")
+    got = ru.summary_with_fallback(entities, "k", "capacity", whole.withColumn("v", F.lit(3)), "k", "v")
+    assert rows(got, "k", "fact_count", "avg_amount") == [("a", 2, 3), ("b", 0, 7)]
+
+
 def test_summary_through_key_counts_every_fact_once(spark):
     facts = spark.createDataFrame([(1 if i % 3 == 0 else i % 10, 1.0) for i in range(300)], "k bigint, v double")
     dim = spark.createDataFrame([(i, "odd" if i % 2 else "even") for i in range(10)], "id bigint, kind string")
@@ -44,7 +53,7 @@ def test_period_labels(spark):
 
 def test_average_per_group_rounds_half_even(spark):
     df = spark.createDataFrame([("a", 12.2), ("a", 12.3), ("b", 0.1), ("b", 0.4)], "k string, v double")
-    assert rows(ru.average_per_group(df, ["k"], "v"), "k", "average") == [("a", 12.2), ("b", 0.2)]
+    assert rows(ru.average_per_group(df, ["k"], "v", as_type="decimal(18,4)"), "k", "average") == [("a", 12.2), ("b", 0.2)]
 
 
 def test_bins_keep_their_total(spark):
