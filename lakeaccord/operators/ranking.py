@@ -77,16 +77,18 @@ def keep_smallest(df: DataFrame, group: list[str], digest: str, quota: Column) -
     """
     rows = _with_group(df, group).withColumn("_bucket", hash_bucket(F.col(digest)))
     filled = _bucket_starts(rows, F.count(F.lit(1))).withColumn("_left", quota - F.col("_before")).filter(F.col("_left") > 0)
-    last = filled.groupBy("_group").agg(
-        F.max("_bucket").alias("_last"), F.max_by("_left", "_bucket").alias("_left")
-    )
+    edge = F.max(F.struct("_bucket", "_left")).alias("_edge")
+    if group:
+        limited = rows.join(filled.groupBy("_group").agg(edge), "_group")
+    else:
+        limited = rows.withColumn("_edge", filled.agg(edge).scalar())
     inside = W.partitionBy("_group", "_bucket").orderBy(digest)
     kept = (
-        rows.join(last, "_group").filter(F.col("_bucket") <= F.col("_last"))
+        limited.filter(F.col("_bucket") <= F.col("_edge._bucket"))
         .withColumn("_rank", F.row_number().over(inside))
-        .filter((F.col("_bucket") < F.col("_last")) | (F.col("_rank") <= F.col("_left")))
+        .filter((F.col("_bucket") < F.col("_edge._bucket")) | (F.col("_rank") <= F.col("_edge._left")))
     )
-    return kept.drop("_last", "_left", "_rank", *_HELPERS)
+    return kept.drop("_edge", "_rank", *_HELPERS)
 
 
 def _range_bounds(df: DataFrame, key: str, rows_per_bucket: int) -> list[float]:
