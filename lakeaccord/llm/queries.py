@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeaccord.llm import neardup, substrings
+from lakeaccord.llm import decontamination, licenses, neardup, packing, quality_lm, quality_rules, secrets, substrings, toxicity, warc
+from lakeaccord.llm.components import stored
+from lakeaccord.session import fresh_path
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,7 +57,80 @@ from words w left join kept k using (doc_id)
 """
 
 
+def web_archives(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark, "archives")
+    warc.write_archives(spark.read.parquet(f"{folder}/pages.parquet"), path)
+    found = warc.read_archives(spark, path)
+    original = found.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("original"), F.col("payload_bytes").alias("bytes"), F.col("sha1").alias("digest")).dropDuplicates(["refers_to"])
+    revisit = F.col("type") == "revisit"
+    return found.join(original, "refers_to", "left").select(
+        "page_id",
+        F.when(revisit, F.col("bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("digest")).otherwise(F.col("sha1")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.when(revisit, F.col("original")).alias("refers_to"),
+    )
+
+
+WEB_ARCHIVES = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+q as (select *, max(page_id) over (partition by html) as first_id from p)
+select page_id, cast(strlen(html) as bigint) as payload_bytes, sha1(html) as payload_digest,
+  case when strlen(html) >= 1000 and page_id < first_id then 'revisit' else 'response' end as record_type,
+  case when strlen(html) >= 1000 and page_id < first_id then first_id end as refers_to
+from q
+"""
+
+
+def token_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(spark, _documents(spark, folder), tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+def secret_spans(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(_documents(spark, folder))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+def license_labels(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(_documents(spark, folder))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+def text_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_lm.quality(spark, _documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(spark, _documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def adaptive_rules(spark: SparkSession, folder: str) -> DataFrame:
+    measured = stored(spark, quality_rules.measure(_documents(spark, folder)), "measures")
+    return quality_rules.apply(measured).drop("lang", "source")
+
+
 QUERIES = {
+    "op5_text_quality": (text_quality, None),
+    "op7_benchmark_leaks": (benchmark_leaks, None),
+    "op8_adaptive_rules": (adaptive_rules, None),
+    "op1_secret_spans": (secret_spans, None),
+    "op6_license_labels": (license_labels, None),
+    "op9_toxic_documents": (toxic_documents, None),
+    "op2_web_archives": (web_archives, WEB_ARCHIVES),
+    "op4_token_sequences": (token_sequences, None),
     "op3_near_copies": (near_copies, NEAR_COPIES),
     "op10_repeated_passages": (repeated_passages, REPEATED_PASSAGES),
 }
