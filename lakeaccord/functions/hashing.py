@@ -16,12 +16,14 @@ def hash_bucket(digest: Column) -> Column:
     return F.substring(digest, 1, BUCKET_DIGITS)
 
 
-LONG_VALUE = 64  # bytes; as long as the digest that stands for a longer value
+LONG_VALUE = 64  # bytes; one less than the mark and the digest that stand for a longer value
 
 
 def compact(value: str) -> str:
-    """SQL for a string that is itself when short and its SHA-256 digest when long.
+    """SQL for a string that is itself when short and a marked SHA-256 digest when long.
 
-    Comparing compact values moves 64 bytes instead of a whole text.
+    Comparing compact values moves 65 bytes instead of a whole text. With its
+    mark a digest is longer than any value that stands for itself, so that a
+    long text never equals a short one, not even the one that is its digest.
     """
-    return f"IF(octet_length({value}) > {LONG_VALUE}, sha2({value}, 256), {value})"
+    return f"IF(octet_length({value}) > {LONG_VALUE}, concat('#', sha2({value}, 256)), {value})"

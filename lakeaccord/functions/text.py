@@ -19,13 +19,24 @@ def parse_label(reply: Column) -> Column:
 
 
 def as_text(value: Column, data_type: T.DataType) -> Column:
-    """A value as people write it: no exponent for doubles of everyday size."""
+    """A value as people write it: no exponent for doubles of everyday size.
+
+    Other doubles get a two-digit exponent with its sign and no needless ``.0``:
+    ``1e-05``, ``2.5e+16``.
+    """
     if not isinstance(data_type, (T.DoubleType, T.FloatType)):
         return value.cast("string")
     plain = F.rtrim(value.cast("decimal(38,18)").cast("string"), F.lit("0"))
     size = F.abs(value)
     spelled_out = ((size >= 1e7) & (size < 1e16)) | ((size < 1e-3) & (size >= 1e-4))
-    return F.when(spelled_out, F.regexp_replace(plain, r"\.$", ".0")).otherwise(value.cast("string"))
+    shown = value.cast("string")
+    mantissa = F.regexp_replace(F.regexp_extract(shown, r"^(.*)E", 1), r"\.0$", "")
+    power = F.regexp_extract(shown, r"E-?(\d+)$", 1)
+    sign = F.when(shown.contains("E-"), F.lit("-")).otherwise(F.lit("+"))
+    digits = F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power)
+    scientific = F.concat(mantissa, F.lit("e"), sign, digits)
+    everyday = F.when(spelled_out, F.regexp_replace(plain, r"\.$", ".0"))
+    return F.when(shown.rlike(r"\dE-?\d"), F.coalesce(everyday, scientific)).otherwise(F.coalesce(everyday, shown))
 
 
 def quoted_list(values: Column) -> Column:

@@ -18,10 +18,12 @@ SIMILARITY = 75  # per cent
 #: three-quarter chances a level keep a pair together in a tree with 8/9 at any depth, so five
 #: trees lose a pair at the threshold with (1/9)^5 at most, at the first level with (1/16)^5.
 TOKENS, TREES, BRANCHES = 40, 6, 2
-#: A pair at the threshold agrees on 30 of 40 tokens; 13 is six deviations less.
-AGREE = 13
+#: A pair at the threshold agrees on 30 of 40 tokens; 18 is four and a half deviations less.
+AGREE = 18
 #: A node is small when at most so many of its documents are outside its largest known component.
-SMALL, DEPTH = 48, 10
+SMALL, DEPTH = 48, 16
+#: Ratio of neighbouring size classes.
+CLASS = 1.05
 
 
 def _shingles(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -106,10 +108,41 @@ def _confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFr
 
 
 def _children(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each document of a node goes to the children named by its tokens at positions that the node draws."""
+    """Each document of a node goes to the children named by its tokens at positions that the node draws.
+
+    A node draws one position, and every third node a second one: with 4/3
+    children on average a pair at the threshold keeps one of them, while pairs
+    that are less similar die out.
+    """
     place = lambda j: (F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TOKENS)) + 1).cast("int")
     child = lambda j: F.xxhash64("node", F.lit(j), F.element_at("tokens", place(j)))
-    return rows.join(classes.select("doc_id", "tokens"), "doc_id").select(F.explode(F.array(*(child(j) for j in range(BRANCHES)))).alias("node"), "doc_id")
+    drawn = F.when(F.pmod(F.xxhash64("node", F.lit("second")), F.lit(3)) == 0, F.array(child(0), child(1))).otherwise(F.array(child(0)))
+    return rows.join(classes.select("doc_id", "tokens"), "doc_id").select(F.explode(drawn).alias("node"), "doc_id")
+
+
+def _by_size(spark: SparkSession, docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Large nodes split by pairs of size classes, without documents that can have no partner there.
+
+    Two similar sets share at least 75/175 of the sum of their sizes, so a
+    document whose shingles that any other of these documents has are fewer
+    than that, for the sizes of a class, has no link to the class. Passages that
+    many documents share stop here, and copies that differ too much.
+    """
+    ids = rows.select("doc_id").distinct()
+    tokens = classes.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", F.posexplode("tokens").alias("place", "token"))
+    common = tokens.groupBy("place", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("place", "token")
+    ids = tokens.join(common, ["place", "token"]).groupBy("doc_id", "n_shingles").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= AGREE).select("doc_id", "n_shingles")
+    ids = stored(spark, ids, "likely")
+    held = docs.join(ids.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles array<bigint>").select("doc_id", F.explode("shingles").alias("shingle"))
+    held = stored(spark, held, "held")
+    common = held.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("shingle")
+    shared = held.join(common, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    size = lambda n: F.floor(F.log(n) / F.log(F.lit(CLASS)) + 1e-9)
+    sized = ids.join(shared, "doc_id").select("doc_id", "n_shingles", "shared", size(F.col("n_shingles")).alias("own"))
+    other = F.explode(F.sequence(size(F.col("n_shingles") * 0.75) - 1, size(F.col("n_shingles") / 0.75) + 1))
+    sized = sized.select("*", other.alias("other")).where(175 * F.col("shared") >= SIMILARITY * (F.col("n_shingles") + F.floor(F.pow(F.lit(CLASS), "other") - 1e-6)))
+    child = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.join(stored(spark, sized, "sized"), "doc_id").select(child.alias("node"), "doc_id")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -121,8 +154,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     its minwise tokens at two positions. Every node links its members with its
     smallest one first; components of these confirmed links leave few pairs to
     compare. A node with few members outside its largest component is compared
-    exhaustively, but for pairs known to be connected; a larger one branches
-    again on two positions of its own. All links are confirmed on full sets.
+    exhaustively, but for pairs known to be connected. A larger one is split by
+    size, without members that can have no partner, and then branches again and
+    again on positions of its own. All links are confirmed on full sets.
 
     A null or wordless text has no shingles and stays alone. A row without
     doc_id gets a null component. Rows that share a doc_id are one node: links
@@ -159,7 +193,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         large = sizes.where("not small").select("node")
         if large.isEmpty():
             break
-        children = _children(rows.join(large, "node"), classes)
+        rows = rows.join(large, "node").select("node", "doc_id")
+        children = _children(rows, classes) if depth else _by_size(spark, docs, rows, classes)
         again = children.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
         nodes = stored(spark, children.join(again, "node").select("node", "doc_id"), "nodes")
 
@@ -170,3 +205,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     joined = components(spark, links).withColumnRenamed("node", "first_id")
     result = signed.select("doc_id", *key).join(first, key, "left").join(joined, "first_id", "left")
     return result.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first_id", "doc_id")).alias("component_id"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, but of each group of near copies only that with the smallest doc_id.
+
+    Of rows that share a doc_id one stays; rows without doc_id all stay.
+    """
+    found = near_duplicates(spark, docs)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    again = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("again_id")
+    again = stored(spark, again, "again")
+    kept = docs.join(stored(spark, gone, "gone"), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    if again.isEmpty():
+        return kept
+    several = kept.join(again, kept["doc_id"] == F.col("again_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, kept["doc_id"] == F.col("again_id"), "left_anti").union(several)

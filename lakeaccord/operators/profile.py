@@ -24,7 +24,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType)]
 
 
-def _present(df: DataFrame, name: str) -> str:
+def present(df: DataFrame, name: str) -> str:
     """The column as SQL, with NaN read as missing."""
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
         return f"nanvl(`{name}`, NULL)"
@@ -32,7 +32,7 @@ def _present(df: DataFrame, name: str) -> str:
 
 
 def _as_double(df: DataFrame, name: str) -> str:
-    value = _present(df, name)
+    value = present(df, name)
     if isinstance(df.schema[name].dataType, T.BooleanType):
         value = f"CAST({value} AS INT)"
     return f"CAST({value} AS DOUBLE)"
@@ -44,11 +44,11 @@ def _moments(df: DataFrame, columns: list[str], group: list[str], approx: bool)
     cells = []
     for i, name in enumerate(columns):
         data_type = df.schema[name].dataType
-        aggregates.append(f"count({_present(df, name)}) AS _n{i}")
+        aggregates.append(f"count({present(df, name)}) AS _n{i}")
         cell = [f"'{name}' AS col_name", "_rows AS row_count", f"_rows - _n{i} AS null_count"]
         if approx:
             nested = isinstance(data_type, (T.ArrayType, T.StructType))
-            shown = f"CAST(`{name}` AS STRING)" if nested else _present(df, name)
+            shown = f"CAST(`{name}` AS STRING)" if nested else present(df, name)
             aggregates.append(f"approx_count_distinct({shown}) AS _d{i}")
             cell.append(f"_d{i} AS distinct_count")
         functions = {"min": "min", "max": "max", "mean": "avg", "std": "stddev_samp"}
@@ -71,6 +71,8 @@ def _type_classes(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
             as_type = "bigint"
         elif isinstance(data_type, (T.DoubleType, T.FloatType)):
             as_type = "double"
+        elif isinstance(data_type, T.TimestampType):
+            as_type = "timestamp"
         else:
             as_type = "string"
         classes.setdefault(as_type, []).append(name)
@@ -81,7 +83,9 @@ def _values(df: DataFrame, columns: list[str], keep: list[str]) -> dict[str, Dat
     """Columns of one type laid under each other as (col_name, value), per type."""
     out = {}
     for as_type, names in _type_classes(df, columns).items():
-        cast = {n: f"CAST({_present(df, n)} AS {as_type})" for n in names}
+        cast = {n: f"CAST({present(df, n)} AS {as_type})" for n in names}
+        if as_type == "timestamp":  # instants, not their text in the session's zone
+            cast = {n: f"unix_micros(`{n}`)" for n in names}
         shown = {n: compact(v) if as_type == "string" else v for n, v in cast.items()}
         cells = ", ".join(f"struct('{n}' AS col_name, {v} AS value)" for n, v in shown.items())
         out[as_type] = df.selectExpr(*keep, f"inline(array({cells}))")

@@ -140,7 +140,8 @@ def rank_with_ties(df: DataFrame, value: str, out: str = "rank", rows_per_bucket
     """``rank() over (order by value desc)`` for a numeric value.
 
     Equal values are counted before anything is sorted, so a value that fills a
-    third of the table is one row of the ranking.
+    third of the table is one row of the ranking. Rows without a value stay,
+    with a null rank.
     """
     present = df.filter(F.col(value).isNotNull())
     counted = present.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
@@ -152,4 +153,12 @@ def rank_with_ties(df: DataFrame, value: str, out: str = "rank", rows_per_bucket
         F.col(value).alias("_value"),
         (F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1).alias(out),
     )
-    return df.join(ranked, df[value] == ranked["_value"], "inner").drop("_value")
+    return df.join(ranked, df[value] == ranked["_value"], "left").drop("_value")
+
+
+def running_total(df: DataFrame, key: str, amount: str, out: str = "before", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``coalesce(sum(amount) over (order by key rows before this one), 0)`` for a unique numeric key."""
+    rows = _with_range_bucket(df, key, _range_bounds(df, key, rows_per_bucket))
+    inside = W.partitionBy("_group", "_bucket").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.join(_bucket_starts(rows, F.sum(amount)), ["_group", "_bucket"])
+    return placed.withColumn(out, F.col("_before") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop(*_HELPERS)

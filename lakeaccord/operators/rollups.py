@@ -148,8 +148,10 @@ def share_of_total(df: DataFrame, amount: str, out: str = "pct_total", within: l
     if not within:
         total = df.agg(F.sum(amount)).scalar()
         return df.withColumn(out, percent(F.col(amount), total))
-    totals = df.groupBy(*within).agg(F.sum(amount).alias("_total"))
-    return df.join(totals, within).withColumn(out, percent(F.col(amount), F.col("_total"))).drop("_total")
+    # As a struct the group is never null, so that rows without a group form one too.
+    rows = df.withColumn("_group", F.struct(*within))
+    totals = rows.groupBy("_group").agg(F.sum(amount).alias("_total"))
+    return rows.join(totals, "_group").withColumn(out, percent(F.col(amount), F.col("_total"))).drop("_total", "_group")
 
 
 def unique_names(df: DataFrame, name: str, number: str, out: str, separator: str = "") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import BUCKET_DIGITS, LAST_BUCKET, order_hash
 from ..functions.text import as_text
+from .profile import present
 from .ranking import keep_smallest, rank_by_hash
 
 SEED = 42
@@ -50,13 +51,14 @@ def sample_values(
     seed: int = SEED,
     table: Column | str | None = None,
 ) -> DataFrame:
-    """Up to ``n`` non-null values per (table, column), without replacement.
+    """Up to ``n`` values per (table, column) that are neither null nor NaN, without replacement.
 
     ``table`` is a name, or a column when one frame holds many tables. A first
     pass counts values per digest prefix, so that the second only writes out and
     sorts the cells that can be among the first ``n``. Ranking to a constant is
     cut to ``n`` rows per column on the map side of the shuffle.
     """
+    df = df.withColumns({c: F.expr(present(df, c)) for c in columns})
     many = not isinstance(table, str)
     name = table if many else F.lit(table)
     digest = order_hash(seed, *[F.col(k) for k in key])
