@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 from lakeaccord import functions as fn
 from lakeaccord.functions.codes import GENDER_CODE, GENDER_SHORT, PRICE_TIER_EUR
 from lakeaccord.functions.names import canonical_name
+from lakeaccord.functions.text import as_text
 
 
 def column(spark, values, kind, make):
@@ -89,3 +90,9 @@ def test_text_helpers(spark):
     assert column(spark, [["a", "b"], []], "array<string>", fn.quoted_list) == ['"a", "b"', ""]
     assert column(spark, ['{"a": {"b": 1}}', "{}", None], "string", lambda c: fn.json_or_default(c, "$.a.b", "-")) == ["1", "-", "-"]
     assert column(spark, [3, None], "int", fn.or_unknown_mark) == ["3", "?"]
+
+
+def test_doubles_with_an_exponent_read_as_printed(spark):
+    values = [1e-5, 1e16, 2.5e16, -1e-7, 1.5e300, 1e-300, 0.0001, 123456789.0, 1e15, 0.5, 0.0, 3.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(as_text(F.col("v"), df.schema["v"].dataType)).collect()] == [repr(v) for v in values]

@@ -86,3 +86,13 @@ def test_lake_profile_and_manifests(rows):
 
 def test_numeric_columns(rows):
     assert numeric_columns(rows) == ["k", "n", "flag", "empty"]
+
+
+def test_instants_are_counted_not_their_local_text(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.createDataFrame([(1699162200,), (1699165800,), (1699165800,), (None,)], "s bigint").selectExpr("timestamp_seconds(s) AS t")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert profile(df, "x").first()["distinct_count"] == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

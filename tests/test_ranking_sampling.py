@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakeaccord.functions.hashing import order_hash
-from lakeaccord.operators.ranking import keep_smallest, rank_by_hash, rank_with_ties, row_numbers
+from lakeaccord.operators.ranking import keep_smallest, rank_by_hash, rank_with_ties, row_numbers, running_total
 from lakeaccord.operators.sampling import (
     pick_from_pool, sample_values, stratified_folds, stratified_sample,
 )
@@ -142,3 +142,24 @@ def test_picks_from_a_pool_that_is_too_short(spark):
         picks[r["g"]].add(r["picked"])
     assert len(picks) == 20 and all(p == {"a", "b"} for p in picks.values())
     assert pick_from_pool(groups, "g", pool.limit(0), "v", 2, 5).count() == 0
+
+
+def test_rows_without_a_value_keep_a_null_rank(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, None), (3, 7.0), (4, 5.0)], "k int, v double")
+    assert {r["k"]: r["rank"] for r in rank_with_ties(df, "v").collect()} == {1: 2, 2: None, 3: 1, 4: 2}
+
+
+def test_running_total(spark):
+    df = spark.createDataFrame([(i * 3 - 50, i % 4) for i in range(200)], "k bigint, n int")
+    want, total = {}, 0
+    for i in range(200):
+        want[i * 3 - 50] = total
+        total += i % 4
+    for rows in (7, 10**6):
+        assert {r["k"]: r["before"] for r in running_total(df, "k", "n", rows_per_bucket=rows).collect()} == want
+
+
+def test_nan_is_no_sample_value(spark):
+    df = spark.createDataFrame([(i, float("nan") if i % 2 else float(i)) for i in range(40)], "k int, v double")
+    got = sample_values(df, ["v"], ["k"], n=30, table="t").first()["sample_values"]
+    assert len(got) == 20 and "NaN" not in got

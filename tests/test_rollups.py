@@ -85,3 +85,9 @@ def test_code_join_and_variants(spark):
     assert rows(ru.join_codes(df, "c", codes, "code", "name", "country").fillna("-"), "id", "country") == [(1, "France"), (2, "-")]
     split = ru.variants(df, {"a": ["id"], "b": ["id", "c"]}, {"b": {"c": "code"}})
     assert split["a"].columns == ["id"] and split["b"].columns == ["id", "code"]
+
+
+def test_share_within_a_null_group(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 3), (None, 2), (None, 6)], "g string, v int")
+    got = sorted(((r["g"], r["v"], r["pct_total"]) for r in ru.share_of_total(df, "v", within=["g"]).collect()), key=str)
+    assert got == [("a", 1, 25.0), ("a", 3, 75.0), (None, 2, 25.0), (None, 6, 75.0)]

@@ -160,3 +160,24 @@ def test_predictions_prune_partitions(spark, tmp_path):
     found = results.read_predictions(spark, path).filter("combo = 'DL'")
     assert found.collect()[0]["pred"] == "B"
     assert "PartitionFilters: [isnotnull(combo" in found._jdf.queryExecution().toString()
+
+
+def test_lineage_numbers_hold_for_large_jobs_and_sequences(spark):
+    jobs = spark.createDataFrame(
+        [(9 * 10**18, "c", ["a"], ["z"], "s"), (-5, "a", ["a"], [f"t{i}" for i in range(300)], "s"), (10**15, "b", ["a"], ["x", "y"], "s"), (7, "n", ["a"], None, "s")],
+        "seq bigint, job string, inputs array<string>, outputs array<string>, sql string",
+    )
+    got = {r["run"]["runId"]: r["outputs"][0]["name"] for r in lineage.lineage_events(jobs).collect()}
+    assert len(got) == 303 and got["dag-run-0001"] == "t0" and got["dag-run-0300"] == "t299"
+    assert [got[f"dag-run-{n:04d}"] for n in (301, 302, 303)] == ["x", "y", "z"]
+
+
+def test_scan_of_one_column(spark, tmp_path):
+    path = str(tmp_path / "t.csv")
+    with open(path, "w") as file:
+        file.write("a,b\n1,2.5\n,nan\n3,\n")
+    assert [r[0] for r in csv_tables.scan_column(spark, path, "a int, b double", "b").collect()] == [2.5]
+    assert [r[0] for r in csv_tables.scan_column(spark, path, "a int, b double", "a").collect()] == [1, 3]
+    for place, schema, column in ((path, "a int, b double", "c"), (path, "a int, c double", "c"), (str(tmp_path / "no.csv"), "a int", "a")):
+        assert csv_tables.scan_column(spark, place, schema, column).collect() == []
+    assert csv_tables.scan_column(spark, str(tmp_path / "no.csv"), "a int", "a").schema["a"].dataType.simpleString() == "int"
