@@ -41,6 +41,7 @@ def test_terms_and_weights(spark):
 
 def test_fold_vectors_use_the_training_texts_only(spark, tmp_path):
     rows = [("S", f"p{i}", LABELS[i % 4], i % 5, TEXTS[i % len(TEXTS)] + f" w{i}") for i in range(20)]
+    rows += [("S", "none", LABELS[1], 2, "unseen words only"), ("S", "blank", LABELS[2], 0, "")]
     texts = spark.createDataFrame(rows, "combo string, pair_id string, label string, fold int, text string")
     size = tm.write_fold_features(texts, ["combo"], str(tmp_path))
     vocabulary = {r["term"]: r["index"] for r in spark.read.parquet(f"{tmp_path}/vocabulary").collect()}
@@ -52,8 +53,7 @@ def test_fold_vectors_use_the_training_texts_only(spark, tmp_path):
     for _, _, label, fold, text in rows:
         raw = {t: (1 + math.log(n)) * (math.log((1 + len(train)) / (1 + df[t])) + 1) for t, n in Counter(terms(text)).items() if df[t]}
         norm = math.sqrt(sum(w * w for w in raw.values()))
-        if raw:
-            wanted.append((LABELS.index(label), fold, sorted((vocabulary[t] - 1, round(w / norm, 9)) for t, w in raw.items())))
+        wanted.append((LABELS.index(label), fold, sorted((vocabulary[t] - 1, round(w / norm, 9)) for t, w in raw.items())))
     read = spark.read.format("libsvm").option("numFeatures", size).load(f"{tmp_path}/vectors/combo=S/model={model}").collect()
     got = [(int(r["label"]), r["fold"], [(int(i), round(float(v), 9)) for i, v in zip(r["features"].indices, r["features"].values)]) for r in read]
     assert sorted(got) == sorted(wanted)
@@ -87,8 +87,27 @@ def test_cross_validation_learns_a_clear_signal(spark):
     assert pooled.first()["n_pairs"] == 80
 
 
-def test_a_vocabulary_beyond_the_driver_is_refused(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tm, "MAX_TERMS", 3)
-    texts = spark.createDataFrame([("S", "p", LABELS[0], 0, "one two three four")], "combo string, pair_id string, label string, fold int, text string")
-    with pytest.raises(ValueError, match="more than"):
-        tm.write_fold_features(texts, ["combo"], str(tmp_path))
+def test_every_text_is_scored_and_unknown_combinations_are_errors(spark):
+    rows = [("S", f"p{i:03d}", LABELS[i % 4], f"own{i}word" if i % 8 == 0 else "" if i % 8 == 1 else f"shared{i % 4} text") for i in range(80)]
+    texts = spark.createDataFrame(rows, "combo string, pair_id string, label string, text string")
+    assert tm.cross_validate(texts, ["S"])[1].first()["n_pairs"] == 80
+    with pytest.raises(ValueError, match="'S'"):
+        tm.cross_validate(texts, ["V"])
+
+
+def test_a_bound_on_fitted_texts_still_scores_all(spark):
+    words = ["currency euro dollar", "monthly annual weekly", "same equal copy", "other entity thing"]
+    rows = [("S", f"p{i:03d}", LABELS[i % 4], f"{words[i % 4]} noise{i}") for i in range(120)]
+    texts = spark.createDataFrame(rows, "combo string, pair_id string, label string, text string")
+    folds = tm.cv_folds(texts, fit_rows=40).collect()
+    assert len(folds) == 120 and sum(r["fit"] for r in folds) == 40
+    means, pooled = tm.cross_validate(texts, ["S"], fit_rows=40)
+    assert pooled.first()["n_pairs"] == 120 and means.first()["accuracy_mean"] > 0.95
+    design = tm.cv_design(texts, fit_rows=40).collect()
+    assert len(design) == 20 and sum(r["test_rows"] for r in design) == 120
+    for fold in range(5):
+        own = [r for r in design if r["fold"] == fold]
+        train = sum(r["train_rows"] for r in own)
+        assert train == 40 - sum(r["fit"] for r in folds if r["fold"] == fold)
+        assert all(math.isclose(r["weight"], train / (4 * r["train_rows"])) for r in own)
+        assert {r["terms"] for r in own} == {12 + 8 + train * 2}
