@@ -147,17 +147,17 @@ UNIQUE_SQL = """SELECT p_partkey, p_name,
 
 
 def code_join(spark, folder):
-    """Customers with the region of their nation; nations of the Americas only are mapped."""
-    nation = table(spark, folder, "nation")
-    region = table(spark, folder, "region").filter(F.col("r_name") != "AMERICA")
+    """Customers with the region of their nation; every seventh one has a nation code that no region knows."""
+    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
     mapped = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
-    customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
-    return join_codes(customer, "c_nationkey", mapped, "n_nationkey", "r_name", "region_name")
+    code = F.col("c_nationkey") + F.when(F.col("c_custkey") % 7 == 0, 1000).otherwise(0)
+    customer = table(spark, folder, "customer").select("c_custkey", code.alias("nation_code"))
+    return join_codes(customer, "nation_code", mapped, "n_nationkey", "r_name", "region_name")
 
 
-CODE_JOIN_SQL = """SELECT c_custkey, c_nationkey, r_name AS region_name FROM customer
-LEFT JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'AMERICA')
-ON c_nationkey = n_nationkey"""
+CODE_JOIN_SQL = """SELECT c_custkey, nation_code, r_name AS region_name
+FROM (SELECT c_custkey, (c_nationkey + CASE WHEN c_custkey % 7 = 0 THEN 1000 ELSE 0 END)::INTEGER AS nation_code FROM customer)
+LEFT JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) ON nation_code = n_nationkey"""
 
 # --- scalar conversions ----------------------------------------------------
 

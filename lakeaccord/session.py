@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -24,20 +27,35 @@ def local_session(app: str = "lakeaccord", cores: str = "8", memory: str = "8g")
     )
 
 
+@functools.cache
+def _scratch() -> str:
+    """One local folder for this process, removed at its end."""
+    folder = tempfile.mkdtemp(prefix="lakeaccord-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read, as named by ``spark.checkpoint.dir``.
+    """The folder every executor can read.
 
-    Only a local master may go without it: there one machine holds all
-    executors, so a scratch folder is as good as a shared one.
+    That is what ``spark.checkpoint.dir`` names, or what was given to
+    ``setCheckpointDir``. Only a local master may go without: there one machine
+    holds all executors, so a scratch folder is as good as a shared one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="lakeaccord-")
+    return _scratch()
 
 
 def fresh_path(spark: SparkSession, purpose: str) -> str:
     """A path below the shared folder that no earlier run has used."""
     return f"{shared_folder(spark)}/lakeaccord/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove_written(spark: SparkSession) -> bool:
+    """Removes all that :func:`fresh_path` gave; results that were not read to the end need it no more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lakeaccord")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
