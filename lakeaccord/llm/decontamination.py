@@ -13,7 +13,7 @@ from . import textarrays as ta
 from .toxicity import _folded
 
 #: Errors allowed, as a share of an item's characters.
-ERRORS = 0.08
+ERRORS = 0.06
 #: Bytes of benchmark text that are searched for at a time.
 BLOCK_BYTES = 4 << 20
 
