@@ -129,6 +129,11 @@ def summary_rows(scores: DataFrame, run: list[str]) -> DataFrame:
     return scores.select(*run, "n_pairs", *[_rounded(m) for m in MACRO + classes])
 
 
+def with_sources(summary: DataFrame) -> DataFrame:
+    """Adds ``sources``, the letters of the combination as an array."""
+    return summary.withColumn("sources", F.split("combo", ""))
+
+
 def in_combo_order(summary: DataFrame, *first: str) -> DataFrame:
     """Short combinations first, then by name."""
     return summary.orderBy(*first, F.length("combo"), "combo")

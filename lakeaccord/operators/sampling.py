@@ -14,7 +14,6 @@ from .ranking import keep_smallest, rank_by_hash
 SEED = 42
 EVIDENCE_SAMPLE = 10
 MANIFEST_SAMPLE = 6
-TABLE_DIGITS = 2  # digest prefix counted per table when one frame holds many
 
 
 def _cells(df: DataFrame, columns: list[str], keep: dict[str, Column]) -> Column:
@@ -28,19 +27,19 @@ def _cells(df: DataFrame, columns: list[str], keep: dict[str, Column]) -> Column
     ]))
 
 
-def _cutoffs(hashed: DataFrame, columns: list[str], n: int, group: list[str]) -> DataFrame:
-    """Per table, for each column the digest prefix in which its n-th value lies.
+def _cutoffs(hashed: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """For each column the digest prefix in which its n-th value lies.
 
-    A column with fewer than ``n`` values keeps all its rows. The windows run
-    over at most one row per prefix of a table.
+    A column with fewer than ``n`` values keeps all its rows. The window runs
+    over at most one row per prefix.
     """
-    counts = hashed.groupBy(*group, "_bucket").agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)])
-    upto = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    summed = counts.select(*group, "_bucket", *[F.sum(f"_n{i}").over(upto).alias(f"_n{i}") for i in range(len(columns))])
+    counts = hashed.groupBy("_bucket").agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)])
+    upto = W.partitionBy().orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = counts.select("_bucket", *[F.sum(f"_n{i}").over(upto).alias(f"_n{i}") for i in range(len(columns))])
     firsts = [
         F.coalesce(F.min(F.when(F.col(f"_n{i}") >= n, F.col("_bucket"))), F.lit(LAST_BUCKET)) for i in range(len(columns))
     ]
-    return summed.groupBy(*group).agg(F.array(*firsts).alias("_cut"))
+    return summed.agg(F.array(*firsts).alias("_cut"))
 
 
 def sample_values(
@@ -53,25 +52,24 @@ def sample_values(
 ) -> DataFrame:
     """Up to ``n`` values per (table, column) that are neither null nor NaN, without replacement.
 
-    ``table`` is a name, or a column when one frame holds many tables. A first
-    pass counts values per digest prefix, so that the second only writes out and
-    sorts the cells that can be among the first ``n``. Ranking to a constant is
-    cut to ``n`` rows per column on the map side of the shuffle.
+    ``table`` is a name, or a column when one frame holds many tables. Of one
+    table a first pass counts values per digest prefix, so that the second only
+    writes out and sorts the cells that can be among the first ``n``. Ranking to
+    a constant is cut to ``n`` rows per column on the map side of the shuffle.
     """
     df = df.withColumns({c: F.expr(present(df, c)) for c in columns})
     many = not isinstance(table, str)
     name = table if many else F.lit(table)
     digest = order_hash(seed, *[F.col(k) for k in key])
     hashed = df.select(*columns, name.alias("table_name"), digest.alias("_h")).withColumn(
-        "_bucket", F.substring("_h", 1, TABLE_DIGITS if many else BUCKET_DIGITS)
+        "_bucket", F.substring("_h", 1, BUCKET_DIGITS)
     )
-    if many:
-        cut = _cutoffs(hashed, columns, n, ["table_name"])
-        limited = hashed.join(cut, "table_name")
+    if many:  # no row is shuffled by its table: the window's limit already cuts on the map side
+        limited, keep = hashed, {c: F.lit(True) for c in columns}
     else:
-        limited = hashed.withColumn("_cut", _cutoffs(hashed, columns, n, []).scalar())
-    limited = limited.filter(F.col("_bucket") <= F.array_max("_cut"))
-    keep = {c: F.col("_bucket") <= F.get("_cut", i) for i, c in enumerate(columns)}
+        cut = _cutoffs(hashed, columns, n)
+        limited = hashed.withColumn("_cut", cut.scalar()).filter(F.col("_bucket") <= F.array_max("_cut"))
+        keep = {c: F.col("_bucket") <= F.get("_cut", i) for i, c in enumerate(columns)}
     ordered = W.partitionBy("table_name", "col_name").orderBy("_h", "value")
     picked = (
         limited.select("table_name", "_h", _cells(df, columns, keep))

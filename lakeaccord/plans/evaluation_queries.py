@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from ..functions.text import parse_label
 from ..labels import DIFF_ENTITY, DUPLICATE, LABELS, TYPE1, TYPE2
 from ..operators import evaluate as ev
-from ..operators.evidence import with_subsets
+from ..operators.evidence import evidence_text, with_subsets
 from ..operators.sampling import stratified_folds
 from ..session import fresh_path
 from ..sources.lake import table
 from ..sources.results import read_predictions, read_summary, row_of_combo, write_summary
 from ..streaming.incremental import label_unseen, open_runs, run_factorial
+from . import shards
+from .evidence_queries import _EVIDENCE, blocks
 
 # The order in which each model asks the sources, and the rule of each source.
 MODELS = {"long_first": "SVLD", "lang_first": "DLVS", "text_first": "VDSL"}
@@ -189,10 +191,11 @@ MACRO_SQL = f"WITH {_cte()}, {_scores_sql()} SELECT model, combo, run, n_pairs,
 
 
 def summary(spark, folder):
-    return ev.in_combo_order(ev.summary_rows(_scores(spark, folder), RUN), "model")
+    rows = ev.with_sources(ev.summary_rows(_scores(spark, folder), RUN))
+    return ev.in_combo_order(rows.withColumn("sources", F.array_join("sources", "+")), "model")
 
 
-SUMMARY_SQL = f"WITH {_cte()}, {_scores_sql()} SELECT model, combo, run, n_pairs, {_MACRO}, {_CLASS} FROM scores ORDER BY model, length(combo), combo"
+SUMMARY_SQL = f"WITH {_cte()}, {_scores_sql()} SELECT model, combo, array_to_string(regexp_extract_all(combo, '.'), '+') AS sources, run, n_pairs, {_MACRO}, {_CLASS} FROM scores ORDER BY model, length(combo), combo"
 
 
 def summary_round_trip(spark, folder):
@@ -340,7 +343,50 @@ SELECT pair_id, coalesce(pred, 'UNKNOWN') AS pred, model, combo, run FROM raw WH
 UNION ALL SELECT NULL, 'open, relabelled 0', 'lang_first', 'DS', 1"""
 
 
+# --- a whole run: evidence, labeller, append, resumption, summary ----------
+
+
+def _read_evidence(texts):
+    """A labeller that reads nothing but evidence texts."""
+    text = F.col("text")
+    name = lambda side: F.regexp_extract(text, rf"(?m)^{side}: [^.]+\.(\S+)$", 1)
+    said = (
+        F.when(name("A") == name("B"), F.lit("Label: NO_CONFLICT_DUPLICATE."))
+        .when((name("B") == "price_month") & text.contains("Monthly price"), F.lit("I say type2 granularity"))
+        .when((name("A") == "price_usd") & (name("B") == "price_eur") & text.contains(", mean="), F.lit("TYPE1_MEASURE"))
+        .when(((name("A") == "quantity") | (name("B") == "quantity")) & text.contains("sample values: ["), F.lit("no conflict diff entity"))
+        .otherwise(F.lit("cannot tell"))
+    )
+    return texts.select("pair_id", parse_label(said).alias("pred"))
+
+
+def labelling_run(spark, folder):
+    """Evidence texts of all pairs and combinations, labelled, stopped, resumed and summed up."""
+    path = fresh_path(spark, "labelling")
+    subsets = with_subsets(blocks(spark, folder))
+    subsets.select("combo", F.col("id").alias("pair_id"), "label", evidence_text().alias("text")).write.partitionBy("combo").parquet(f"{path}/texts")
+    texts = spark.read.schema("pair_id string, label string, text string, combo string").parquet(f"{path}/texts")
+    pairs = texts.filter(F.col("combo") == "S").select("pair_id", "label")
+    rule = lambda model, combo, run: lambda todo: _read_evidence(texts.filter(F.col("combo") == combo).join(todo.select("pair_id"), "pair_id", "left_semi"))
+    label_unseen(pairs.filter(F.col("label") == TYPE1), rule("reader", "DS", 1), f"{path}/predictions", "reader", "DS", 1)
+    combos = sorted("".join(c for i, c in enumerate("DLSV") if bits >> i & 1) for bits in range(1, 16))
+    run_factorial(pairs, rule, f"{path}/predictions", ["reader"], combos)
+    again = run_factorial(pairs, rule, f"{path}/predictions", ["reader"], combos)
+    done = read_predictions(spark, f"{path}/predictions")
+    rows = ev.with_sources(ev.summary_rows(ev.scores_of(pairs, done, RUN), RUN)).withColumn("sources", F.array_join("sources", "+"))
+    return ev.in_combo_order(rows.withColumn("relabelled", F.lit(again)))
+
+
+_NAMES = "CASE WHEN col_a = col_b THEN '{dup}' WHEN col_b = 'price_month' AND contains(text, 'Monthly price') THEN '{t2}' WHEN col_a = 'price_usd' AND col_b = 'price_eur' AND contains(text, ', mean=') THEN '{t1}' WHEN (col_a = 'quantity' OR col_b = 'quantity') AND contains(text, 'sample values: [') THEN '{diff}' END"
+LABELLING_SQL = f"""WITH {shards.BLOCKS}, {_COMBO_CTE}, truth AS (SELECT id AS pair_id, label FROM pairs),
+texts AS (SELECT id AS pair_id, combo, col_a, col_b, {_EVIDENCE} AS text FROM blocks CROSS JOIN combos),
+predictions AS (SELECT pair_id, combo, 'reader' AS model, 1 AS run, {_NAMES.format(dup=DUPLICATE, t2=TYPE2, t1=TYPE1, diff=DIFF_ENTITY)} AS pred FROM texts),
+{_scores_sql()}
+SELECT model, combo, array_to_string(regexp_extract_all(combo, '.'), '+') AS sources, run, n_pairs, {_MACRO}, {_CLASS}, 0::INTEGER AS relabelled FROM scores"""
+
+
 QUERIES = {
+    "labelling_run": (labelling_run, LABELLING_SQL),
     "label_distribution": (label_distribution, DISTRIBUTION_SQL),
     "truth_with_predictions": (truth_with_predictions, JOINED_SQL),
     "todo_pairs": (todo, TODO_SQL),
