@@ -21,7 +21,7 @@ def test_query_agrees_with_sql(spark, name):
 
 
 def test_driver_contract(spark):
-    assert set(driver.oracle_sql()) <= set(driver.queries()) == set(registry())
+    assert set(driver.oracle_sql()) <= set(driver.queries()) >= set(registry())
     assert driver.entry(spark).count() > 0
 
 
