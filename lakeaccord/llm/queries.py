@@ -60,16 +60,14 @@ from words w left join kept k using (doc_id)
 def web_archives(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "archives")
     warc.write_archives(spark.read.parquet(f"{folder}/pages.parquet"), path)
-    found = warc.read_archives(spark, path)
-    original = found.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("original"), F.col("payload_bytes").alias("bytes"), F.col("sha1").alias("digest")).dropDuplicates(["refers_to"])
-    revisit = F.col("type") == "revisit"
-    return found.join(original, "refers_to", "left").select(
-        "page_id",
-        F.when(revisit, F.col("bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(revisit, F.col("digest")).otherwise(F.col("sha1")).alias("payload_digest"),
-        F.col("type").alias("record_type"),
-        F.when(revisit, F.col("original")).alias("refers_to"),
-    )
+    found = stored(spark, warc.read_archives(spark, path), "records")
+    digest = F.col("sha1").alias("payload_digest")
+    responses = found.where("type = 'response'")
+    original = responses.select(F.col("record_id").alias("of"), F.col("page_id").alias("refers_to"), "payload_bytes", digest).dropDuplicates(["of"])
+    revisits = found.where("type = 'revisit'").select("page_id", F.col("refers_to").alias("of")).join(original, "of", "left")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    plain = responses.select("page_id", "payload_bytes", digest, F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"))
+    return plain.select(*names).union(revisits.withColumn("record_type", F.lit("revisit")).select(*names))
 
 
 WEB_ARCHIVES = """

@@ -33,9 +33,11 @@ def write_archives(pages: DataFrame, path: str, date: str = DATE) -> None:
     and a null page_id counts as the smallest. Other columns are not read.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.select("page_id", "url", "html", F.octet_length("html").alias("bytes"), F.sha1("html").alias("digest"))
+    rows = rows.select("page_id", "url", "html", F.octet_length("html").alias("bytes"), F.unhex(F.sha1("html")).alias("digest"))
     largest = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest", "bytes").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and first_id is not null")
-    rows = rows.join(largest, ["digest", "bytes"], "left")
+    # Written first, so that Spark knows its size: below the broadcast threshold no payload is shuffled.
+    largest = stored(pages.sparkSession, largest.drop("copies"), "copies")
+    rows = rows.join(largest, ["digest", "bytes"], "left").withColumn("digest", F.lower(F.hex("digest")))
     revisit = F.col("first_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("first_id")))
     identity = lambda page: F.regexp_replace(F.md5(F.concat_ws("/", F.coalesce(page.cast("string"), F.lit("none")), "digest")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
