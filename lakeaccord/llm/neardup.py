@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
@@ -14,16 +14,16 @@ from .components import components, stored
 
 SHINGLE = 5
 SIMILARITY = 75  # per cent
-#: Minwise tokens of a set; trees; positions that a tree branches on at a node. Two of
-#: three-quarter chances a level keep a pair together in a tree with 8/9 at any depth, so five
-#: trees lose a pair at the threshold with (1/9)^5 at most, at the first level with (1/16)^5.
+#: Minwise tokens of a set; trees; positions that a tree branches on at its root. A pair at the
+#: threshold has no node in common with (1/4)^12, less than one in ten million.
 TOKENS, TREES, BRANCHES = 40, 6, 2
 #: A pair at the threshold agrees on 30 of 40 tokens; 18 is four and a half deviations less.
 AGREE = 18
 #: A node is small when at most so many of its documents are outside its largest known component.
-SMALL, DEPTH = 48, 16
-#: Ratio of neighbouring size classes.
-CLASS = 1.05
+SMALL = 12
+#: Ratio of neighbouring size classes, and children that a similar pair must have in common below a
+#: large node; one changed word changes five shingles, so six ask for more than one common change.
+CLASS, CHILDREN = 1.02, 6
 
 
 def _shingles(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -95,7 +95,7 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose whole shingle sets are similar enough; sets are made for their documents only."""
     pairs = stored(spark, pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    ids = stored(spark, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")  # of a known size
     sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles array<bigint>")
     sets = stored(spark, sets, "sets")
     side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s_{k}"))
@@ -107,42 +107,44 @@ def _confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFr
     )
 
 
-def _children(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each document of a node goes to the children named by its tokens at positions that the node draws.
+def _branched(spark: SparkSession, docs: DataFrame, rows: DataFrame, few: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of documents of large nodes that one of `few` is in, by children that lose no similar pair.
 
-    A node draws one position, and every third node a second one: with 4/3
-    children on average a pair at the threshold keeps one of them, while pairs
-    that are less similar die out.
-    """
-    place = lambda j: (F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TOKENS)) + 1).cast("int")
-    child = lambda j: F.xxhash64("node", F.lit(j), F.element_at("tokens", place(j)))
-    drawn = F.when(F.pmod(F.xxhash64("node", F.lit("second")), F.lit(3)) == 0, F.array(child(0), child(1))).otherwise(F.array(child(0)))
-    return rows.join(classes.select("doc_id", "tokens"), "doc_id").select(F.explode(drawn).alias("node"), "doc_id")
-
-
-def _by_size(spark: SparkSession, docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Large nodes split by pairs of size classes, without documents that can have no partner there.
-
-    Two similar sets share at least 75/175 of the sum of their sizes, so a
-    document whose shingles that any other of these documents has are fewer
-    than that, for the sizes of a class, has no link to the class. Passages that
-    many documents share stop here, and copies that differ too much.
+    Two similar sets share at least 75/175 of the sum of their sizes. A document
+    with fewer shingles that any other of these documents has can have no
+    partner: passages that many documents share stop here, and copies that
+    differ too much. Of c such shingles a partner that must have T of them has at
+    least CHILDREN of any c - T + CHILDREN, and so in common with it the rarest ones
+    of both: a document branches on so many of its rarest, for each size class.
     """
     ids = rows.select("doc_id").distinct()
     tokens = classes.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", F.posexplode("tokens").alias("place", "token"))
     common = tokens.groupBy("place", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("place", "token")
     ids = tokens.join(common, ["place", "token"]).groupBy("doc_id", "n_shingles").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= AGREE).select("doc_id", "n_shingles")
-    ids = stored(spark, ids, "likely")
+    ids = stored(spark, ids.dropDuplicates(["doc_id"]), "likely")
     held = docs.join(ids.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles array<bigint>").select("doc_id", F.explode("shingles").alias("shingle"))
     held = stored(spark, held, "held")
-    common = held.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("shingle")
-    shared = held.join(common, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    common = held.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("documents")).where("low < high").select("shingle", "documents")
+    held = held.join(common, "shingle")
+    shared = held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
     size = lambda n: F.floor(F.log(n) / F.log(F.lit(CLASS)) + 1e-9)
-    sized = ids.join(shared, "doc_id").select("doc_id", "n_shingles", "shared", size(F.col("n_shingles")).alias("own"))
+    sized = stored(spark, ids.join(shared, "doc_id").where(100 * F.col("shared") >= SIMILARITY * F.col("n_shingles")).withColumn("own", size(F.col("n_shingles"))), "sized")
+    held = stored(spark, held.join(sized.select("doc_id"), "doc_id"), "shared")
+
     other = F.explode(F.sequence(size(F.col("n_shingles") * 0.75) - 1, size(F.col("n_shingles") / 0.75) + 1))
-    sized = sized.select("*", other.alias("other")).where(175 * F.col("shared") >= SIMILARITY * (F.col("n_shingles") + F.floor(F.pow(F.lit(CLASS), "other") - 1e-6)))
-    child = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.join(stored(spark, sized, "sized"), "doc_id").select(child.alias("node"), "doc_id")
+    needed = F.ceil(SIMILARITY * (F.col("n_shingles") + F.floor(F.pow(F.lit(CLASS), "other") - 1e-6)) / 175.0 - 1e-9)
+    present = sized.select(F.col("own").alias("other")).distinct()
+    wanted = sized.select("doc_id", "n_shingles", "shared", "own", other.alias("other")).join(present, "other").where(F.col("shared") >= needed)
+    least = F.least(F.lit(CHILDREN), needed)
+    wanted = wanted.select("doc_id", "own", "other", (F.col("shared") - needed + least).alias("branches"), least.alias("least"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("documents", "shingle"))  # a window is one document
+    most = wanted.groupBy("doc_id").agg(F.max("branches").alias("most"))
+    rarest = held.select("doc_id", "shingle", "documents").withColumn("rank", rank).join(most, "doc_id").where("rank <= most").select("doc_id", "shingle", "rank")
+    rarest = stored(spark, rarest.join(wanted, "doc_id").where("rank <= branches").drop("rank", "branches"), "children")
+    x = rarest.join(few, "doc_id", "left_semi").toDF("x", "shingle", "own", "other", "least_x")
+    y = rarest.toDF("y", "shingle", "other", "own", "least_y")
+    met = x.join(y, ["shingle", "own", "other"]).where("x <> y")
+    return met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("least_x", "least_y")).alias("least")).where("n >= least").select("x", "y")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -154,9 +156,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     its minwise tokens at two positions. Every node links its members with its
     smallest one first; components of these confirmed links leave few pairs to
     compare. A node with few members outside its largest component is compared
-    exhaustively, but for pairs known to be connected. A larger one is split by
-    size, without members that can have no partner, and then branches again and
-    again on positions of its own. All links are confirmed on full sets.
+    exhaustively, but for pairs known to be connected. In a larger one members
+    that can have no partner are left out, and the others branch once more, on
+    their rarest shingles. All links are confirmed on full sets.
 
     A null or wordless text has no shingles and stays alone. A row without
     doc_id gets a null component. Rows that share a doc_id are one node: links
@@ -178,29 +180,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     links = _confirmed(spark, docs, _promising(star, classes))
     known = components(spark, links)
 
-    nodes, found = nodes.select("node", "doc_id"), []
-    for depth in range(DEPTH):
-        rows = nodes.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        rows = stored(spark, rows, "rows")
-        sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
-        sizes = sizes.groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main")).where("n > most")
-        sizes = stored(spark, sizes.withColumn("small", (F.col("n") - F.col("most") <= SMALL) | F.lit(depth == DEPTH - 1)), "sizes")
-        small = rows.join(sizes.where("small").select("node", "main"), "node")
-        few = small.where("component <> main").select("node", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-        every = small.select("node", F.col("doc_id").alias("b"), F.col("component").alias("cb"), "main")
-        pairs = few.join(every, "node").where("ca <> cb and (cb = main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found.append(stored(spark, _promising(pairs, classes), "promising"))
-        large = sizes.where("not small").select("node")
-        if large.isEmpty():
-            break
-        rows = rows.join(large, "node").select("node", "doc_id")
-        children = _children(rows, classes) if depth else _by_size(spark, docs, rows, classes)
-        again = children.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
-        nodes = stored(spark, children.join(again, "node").select("node", "doc_id"), "nodes")
-
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
+    rows = nodes.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    rows = stored(spark, rows, "rows")
+    sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main")).where("n > most")
+    sizes = stored(spark, sizes.withColumn("small", F.col("n") - F.col("most") <= SMALL), "sizes")
+    small = rows.join(sizes.where("small").select("node", "main"), "node")
+    few = small.where("component <> main").select("node", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
+    every = small.select("node", F.col("doc_id").alias("b"), F.col("component").alias("cb"), "main")
+    pairs = few.join(every, "node").where("ca <> cb and (cb = main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = _promising(pairs, classes)
+    large = stored(spark, rows.join(sizes.where("not small").select("node", "main"), "node"), "large")
+    if not large.isEmpty():
+        few = stored(spark, large.where("component <> main").select("doc_id").distinct(), "few")
+        found = _branched(spark, docs, large, few, classes)
+        of = rows.select("doc_id", "component").distinct()
+        found = found.join(of.toDF("x", "cx"), "x").join(of.toDF("y", "cy"), "y").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        pairs = pairs.union(_promising(found, classes))
     links = links.union(_confirmed(spark, docs, pairs.distinct()))
     joined = components(spark, links).withColumnRenamed("node", "first_id")
     result = signed.select("doc_id", *key).join(first, key, "left").join(joined, "first_id", "left")
