@@ -21,9 +21,8 @@ TOKENS, TREES, BRANCHES = 40, 6, 2
 AGREE = 18
 #: A node is small when at most so many of its documents are outside its largest known component.
 SMALL = 12
-#: Ratio of neighbouring size classes, and children that a similar pair must have in common below a
-#: large node; one changed word changes five shingles, so six ask for more than one common change.
-CLASS, CHILDREN = 1.02, 6
+#: Ratio of neighbouring size classes.
+CLASS = 1.02
 
 
 def _shingles(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -107,15 +106,15 @@ def _confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFr
     )
 
 
-def _branched(spark: SparkSession, docs: DataFrame, rows: DataFrame, few: DataFrame, classes: DataFrame) -> DataFrame:
+def _branched(spark: SparkSession, docs: DataFrame, rows: DataFrame, few: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
     """Pairs of documents of large nodes that one of `few` is in, by children that lose no similar pair.
 
     Two similar sets share at least 75/175 of the sum of their sizes. A document
     with fewer shingles that any other of these documents has can have no
     partner: passages that many documents share stop here, and copies that
-    differ too much. Of c such shingles a partner that must have T of them has at
-    least CHILDREN of any c - T + CHILDREN, and so in common with it the rarest ones
-    of both: a document branches on so many of its rarest, for each size class.
+    differ too much. Of c such shingles a partner that must have T of them has one
+    of any c - T + 1, and the rarest in common is among the rarest so many of both:
+    a document branches on these, for each size class.
     """
     ids = rows.select("doc_id").distinct()
     tokens = classes.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", F.posexplode("tokens").alias("place", "token"))
@@ -135,16 +134,16 @@ def _branched(spark: SparkSession, docs: DataFrame, rows: DataFrame, few: DataFr
     needed = F.ceil(SIMILARITY * (F.col("n_shingles") + F.floor(F.pow(F.lit(CLASS), "other") - 1e-6)) / 175.0 - 1e-9)
     present = sized.select(F.col("own").alias("other")).distinct()
     wanted = sized.select("doc_id", "n_shingles", "shared", "own", other.alias("other")).join(present, "other").where(F.col("shared") >= needed)
-    least = F.least(F.lit(CHILDREN), needed)
-    wanted = wanted.select("doc_id", "own", "other", (F.col("shared") - needed + least).alias("branches"), least.alias("least"))
+    wanted = wanted.select("doc_id", "own", "other", (F.col("shared") - needed + 1).alias("branches"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("documents", "shingle"))  # a window is one document
     most = wanted.groupBy("doc_id").agg(F.max("branches").alias("most"))
     rarest = held.select("doc_id", "shingle", "documents").withColumn("rank", rank).join(most, "doc_id").where("rank <= most").select("doc_id", "shingle", "rank")
     rarest = stored(spark, rarest.join(wanted, "doc_id").where("rank <= branches").drop("rank", "branches"), "children")
-    x = rarest.join(few, "doc_id", "left_semi").toDF("x", "shingle", "own", "other", "least_x")
-    y = rarest.toDF("y", "shingle", "other", "own", "least_y")
-    met = x.join(y, ["shingle", "own", "other"]).where("x <> y")
-    return met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("least_x", "least_y")).alias("least")).where("n >= least").select("x", "y")
+    asked = few.withColumn("asks", F.lit(True))
+    rarest = rarest.join(component, "doc_id").join(asked, "doc_id", "left").select("doc_id", "component", F.coalesce("asks", F.lit(False)).alias("asks"), "shingle", "own", "other")
+    x = rarest.where("asks").drop("asks").toDF("x", "cx", "shingle", "own", "other")
+    y = rarest.toDF("y", "cy", "asks", "shingle", "other", "own")
+    return x.join(y, ["shingle", "own", "other"]).where("cx <> cy and (not asks or x < y)").select("x", "y").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -193,9 +192,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     large = stored(spark, rows.join(sizes.where("not small").select("node", "main"), "node"), "large")
     if not large.isEmpty():
         few = stored(spark, large.where("component <> main").select("doc_id").distinct(), "few")
-        found = _branched(spark, docs, large, few, classes)
-        of = rows.select("doc_id", "component").distinct()
-        found = found.join(of.toDF("x", "cx"), "x").join(of.toDF("y", "cy"), "y").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        of = stored(spark, rows.select("doc_id", "component").distinct(), "components")
+        found = _branched(spark, docs, large, few, classes, of).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         pairs = pairs.union(_promising(found, classes))
     links = links.union(_confirmed(spark, docs, pairs.distinct()))
     joined = components(spark, links).withColumnRenamed("node", "first_id")
