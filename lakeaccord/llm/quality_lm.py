@@ -143,7 +143,8 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: f
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    model = spark.sparkContext.broadcast(table(train(spark, docs.join(good, "doc_id", "left_semi"))))
+    # Trusted ids grow with the corpus and are no broadcast side, so the plan is the same at every size.
+    model = spark.sparkContext.broadcast(table(train(spark, docs.join(good.hint("merge"), "doc_id", "left_semi"))))
     scored = stored(spark, docs.mapInArrow(_scored(model), "doc_id bigint, lang string, n_chars bigint, perplexity double"), "perplexity")
     own = F.when(F.col("n_chars") > 0, F.col("perplexity") / (1 + F.try_divide(F.lit(2.0), F.sqrt("n_chars"))))
     trusted = scored.join(good, "doc_id", "left_semi").where("perplexity is not null").select("lang", own.alias("p"))
