@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at a time; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 HASH_BYTES = 1 << 20
 
 _BYTES = np.arange(256)
