@@ -1,4 +1,4 @@
-"""Text quality by an interpolated modified Kneser-Ney model of trusted text."""
+"""Text quality by interpolated modified Kneser-Ney models of trusted text: symbols in an array, words in sharded tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
@@ -109,48 +109,162 @@ def table(levels: list[tuple[int, DataFrame, DataFrame]]) -> np.ndarray:
     return np.log(np.maximum(lower, 1e-12)).astype(np.float32)
 
 
+#: Word models: of all trusted texts, of those with an odd and of those with an even key.
+VIEWS = 3
+WORD_ROWS = "key bigint, w1 bigint, w2 bigint, n bigint"
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each word: ASCII letters and digits (case folded) and code points below U+0800 in runs, later code points alone."""
+    data = ta.LOWER[data]
+    starts, ends, _ = ta.words(data, offsets, ta.ALNUM)
+    lead = np.flatnonzero(data >= 0xE0)
+    behind = lead + 3 + (data[lead] >= 0xF0)
+    starts = np.unique(np.concatenate([starts, lead, behind]))
+    starts = starts[starts < len(data)]
+    starts = starts[ta.ALNUM[data[starts]]]
+    ends = np.unique(np.concatenate([ends, lead, behind]))
+    ends = ends[np.searchsorted(ends, starts, "right")]
+    return ta.word_hashes(data, starts, ends).view(np.int64), np.searchsorted(offsets, starts, "right") - 1
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of neighbouring words of each text with their counts; 0 stands before the first word."""
+    for batch in batches:
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        for first, data, offsets in ta.blocks(batch.column(1)):
+            w2, rows = _words(data, offsets)
+            if not len(w2):
+                continue
+            w1 = np.concatenate([[0], w2[:-1]])
+            w1[np.concatenate([[True], rows[1:] != rows[:-1]])] = 0
+            order = np.lexsort((w2, w1, rows))
+            w1, w2, rows = w1[order], w2[order], rows[order]
+            new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]))
+            n = np.diff(np.concatenate([new, [len(rows)]]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first + rows[new]]), pa.array(w1[new]), pa.array(w2[new]), pa.array(n)], names=["key", "w1", "w2", "n"])
+
+
+def _discounted(counts: DataFrame) -> tuple[Column, dict[int, int]]:
+    """The discount of a row of (view, n), and the rows of each view; five numbers a view come to the driver."""
+    seen = counts.groupBy("view").agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5))).collect()
+    out = F.lit(0.0)
+    for r in seen:
+        n = [0, r["n1"], r["n2"], r["n3"], r["n4"]]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
+        d = [min(max(0.0, k - (k + 1) * y * n[k + 1] / n[k]), k * 0.99) if n[k] else 0.5 for k in (1, 2, 3)]
+        out = F.when(F.col("view") == r["view"], F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])).otherwise(out)
+    return out, {r["view"]: r["rows"] for r in seen}
+
+
+def train_words(spark: SparkSession, own: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(view, w1, w2, share), (view, w, p, rest) and the chance of an unseen word by view, from rows of trusted texts.
+
+    View 0 counts all trusted texts, views 1 and 2 leave out those with an even
+    or odd key. Nothing but a few numbers a view comes to the driver.
+    """
+    even = F.col("key").bitwiseAND(1) == 0
+    halves = own.groupBy("w1", "w2").agg(F.sum("n").alias("n0"), F.sum(F.when(even, 0).otherwise(F.col("n"))).alias("n1"), F.sum(F.when(even, F.col("n")).otherwise(0)).alias("n2"))
+    counts = halves.select("w1", "w2", F.posexplode(F.array("n0", "n1", "n2")).alias("view", "n")).where("n > 0")
+    counts = stored(spark, counts, "word-pairs")
+    discount, _ = _discounted(counts)
+    contexts = stored(spark, counts.groupBy("view", "w1").agg(F.sum("n").alias("total"), F.sum(discount).alias("saved")), "word-contexts")
+    pairs = counts.join(contexts.hint("merge"), ["view", "w1"]).select("view", "w1", "w2", ((F.col("n") - discount) / F.col("total")).alias("share"))
+    single = stored(spark, counts.groupBy("view", F.col("w2").alias("w")).agg(F.count(F.lit(1)).alias("n")), "words")
+    discount, kinds = _discounted(single)
+    sums = {r["view"]: r for r in single.groupBy("view").agg(F.sum("n").alias("total"), F.sum(discount).alias("saved")).collect()}
+    # One unknown word beside the known ones.
+    unseen = [sums[v]["saved"] / sums[v]["total"] / (kinds[v] + 1) if v in sums else 1.0 for v in range(VIEWS)]
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("view") + 1)
+    total = of([sums[v]["total"] if v in sums else 1 for v in range(VIEWS)])
+    chances = single.select("view", "w", ((F.col("n") - discount) / total + of(unseen)).alias("p"))
+    rests = contexts.select("view", F.col("w1").alias("w"), (F.col("saved") / F.col("total")).alias("rest"))
+    return stored(spark, pairs, "word-shares"), stored(spark, chances.join(rests.hint("merge"), ["view", "w"], "full"), "word-chances"), unseen
+
+
+def score_words(rows: DataFrame, model: tuple[DataFrame, DataFrame, list[float]]) -> DataFrame:
+    """key, n_words, word_perplexity, apart_perplexity: distinct pairs meet the model's tables once, then the texts.
+
+    Every join side grows with the corpus and none is broadcast. Rows of equal
+    texts add up under one key, which leaves their perplexity as it is.
+    """
+    pairs, chances, unseen = model
+    views = lambda name: [F.max(F.when(F.col("view") == v, F.col(name))).alias(f"{name}{v}") for v in range(VIEWS)]
+    of = lambda name: [f"{name}{v}" for v in range(VIEWS)]
+    known = chances.groupBy("w").agg(*views("p"), *views("rest"))
+    met = rows.select("w1", "w2").distinct().join(pairs.groupBy("w1", "w2").agg(*views("share")).hint("merge"), ["w1", "w2"], "left")
+    met = met.join(known.select(F.col("w").alias("w1"), *of("rest")).hint("merge"), "w1", "left")
+    met = met.join(known.select(F.col("w").alias("w2"), *of("p")).hint("merge"), "w2", "left")
+    log = [F.log(F.coalesce(f"share{v}", F.lit(0.0)) + F.coalesce(f"rest{v}", F.lit(1.0)) * F.coalesce(f"p{v}", F.lit(unseen[v]))).alias(f"log{v}") for v in range(VIEWS)]
+    joined = rows.join(met.select("w1", "w2", *log).hint("merge"), ["w1", "w2"])
+    apart = F.when(F.col("key").bitwiseAND(1) == 0, F.col("log1")).otherwise(F.col("log2"))
+    perplexity = lambda log: F.exp(-F.sum(F.col("n") * log) / F.sum("n"))
+    return joined.groupBy("key").agg(F.sum("n").alias("n_words"), perplexity(F.col("log0")).alias("word_perplexity"), perplexity(apart).alias("apart_perplexity"))
+
+
 def _scored(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = model.value
         for batch in batches:
             out, sizes = np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows, np.int64)
-            for first, data, offsets in ta.blocks(batch.column(2)):
+            for first, data, offsets in ta.blocks(batch.column(3)):
                 codes, begins = _codes(data, offsets)
                 total = np.concatenate([[0.0], np.cumsum(logs[codes], dtype=np.float64)])
                 n = np.diff(begins)
                 own = slice(first, first + len(n))
                 sizes[own] = n
                 out[own] = np.exp(-(total[begins[1:]] - total[begins[:-1]]) / np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(out, mask=sizes == 0)], names=["doc_id", "lang", "n_chars", "perplexity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes), pa.array(out, mask=sizes == 0)], names=["doc_id", "lang", "key", "n_chars", "perplexity"])
 
     return run
 
 
+def _limits(trusted: DataFrame, quantile: float, name: str) -> tuple[DataFrame, Column]:
+    """(of, name) of the languages with enough trusted texts, and the quantile of all."""
+    limits = trusted.groupBy("lang").agg(F.percentile_approx("p", quantile, 10000).alias(name), F.count("p").alias("n"))
+    general = trusted.agg(F.percentile_approx("p", quantile, 10000)).first()[0]
+    return limits.where(F.col("n") >= LEAST).select(F.col("lang").alias("of"), name), F.lit(float("inf") if general is None else general)
+
+
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity, threshold, kept.
-
-    The model is trained on all texts that `labels` calls good (quality 1). A
-    document is kept if its perplexity per character is at most the given
-    quantile of the trusted texts of its language; a language with few of them
-    uses the quantile of all. Thresholds allow for the spread of short texts: a
-    text of n characters may be above by the share 2 / sqrt(n).
-
-    A null or empty text has a null perplexity and is not kept. A null language
-    is one of its own. Labels that contradict each other do not make a text
-    trusted. Without trusted texts everything with text is kept. Repeated rows,
-    and rows without doc_id, are scored each. An empty table gives no rows.
-    Other columns are not read.
+    """doc_id, lang, n_chars, perplexity, threshold, n_words, word_perplexity, apart_perplexity, word_threshold, kept.
+
+    Two models are trained on all texts that `labels` calls good (quality 1):
+    one of symbols, of bounded size, and one of neighbouring words in whole code
+    points, whose tables grow with the trusted texts and are joined with the
+    word pairs of every text. A document is kept if its perplexity per character
+    and that per word are each at most the given quantile of the trusted texts
+    of its language; a language with few of them uses the quantile of all. A
+    text of n characters or words may be above by the share 2 / sqrt(n) for its
+    spread. `word_perplexity` is that of the whole model. A trusted text would
+    know its own words there, so the decision compares `apart_perplexity`, of
+    trusted and other texts alike: by the trusted texts in the half, by parity
+    of the text's hash, that the text does not belong to.
+
+    A null or empty text has a null perplexity and is not kept; one without
+    words is judged by its symbols. A null language is one of its own. Labels
+    that contradict each other do not make a text trusted. Without trusted texts
+    everything with text is kept. Repeated rows, and rows without doc_id, are
+    scored each. Texts and words are known by 64-bit hashes. An empty table
+    gives no rows. Other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("key"), "text")
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     # Trusted ids grow with the corpus and are no broadcast side, so the plan is the same at every size.
-    model = spark.sparkContext.broadcast(table(train(spark, docs.join(good.hint("merge"), "doc_id", "left_semi"))))
-    scored = stored(spark, docs.mapInArrow(_scored(model), "doc_id bigint, lang string, n_chars bigint, perplexity double"), "perplexity")
-    own = F.when(F.col("n_chars") > 0, F.col("perplexity") / (1 + F.try_divide(F.lit(2.0), F.sqrt("n_chars"))))
-    trusted = scored.join(good, "doc_id", "left_semi").where("perplexity is not null").select("lang", own.alias("p"))
-    limits = trusted.groupBy("lang").agg(F.percentile_approx("p", quantile, 10000).alias("limit"), F.count(F.lit(1)).alias("n"))
-    limits = limits.where(F.col("n") >= LEAST).select(F.col("lang").alias("of"), "limit")
-    general = trusted.agg(F.percentile_approx("p", quantile, 10000)).first()[0]
-    general = float("inf") if general is None else general
-    joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("threshold", F.coalesce("limit", F.lit(general)))
-    return joined.select("doc_id", "lang", "n_chars", "perplexity", "threshold", F.coalesce(own <= F.col("threshold"), F.lit(False)).alias("kept"))
+    texts = stored(spark, docs.join(good.hint("merge"), "doc_id", "left_semi").select("key", "text"), "trusted")
+    model = spark.sparkContext.broadcast(table(train(spark, texts)))
+    scored = stored(spark, docs.mapInArrow(_scored(model), "doc_id bigint, lang string, key bigint, n_chars bigint, perplexity double"), "perplexity")
+    own = stored(spark, texts.mapInArrow(_word_rows, WORD_ROWS), "trusted-words")
+    every = docs.select("key", "text").mapInArrow(_word_rows, WORD_ROWS)
+    words = stored(spark, score_words(every, train_words(spark, own)), "word-perplexity")
+    scored = stored(spark, scored.join(words.hint("merge"), "key", "left"), "perplexities")
+    share = lambda c, n: F.col(c) / (1 + F.try_divide(F.lit(2.0), F.sqrt(n)))
+    by_symbol, by_word = F.when(F.col("n_chars") > 0, share("perplexity", "n_chars")), share("apart_perplexity", "n_words")
+    trusted = scored.join(good.hint("merge"), "doc_id", "left_semi")
+    limits, general = _limits(trusted.where("perplexity is not null").select("lang", by_symbol.alias("p")), quantile, "limit")
+    word_limits, word_general = _limits(trusted.where("n_words > 0").select("lang", F.col("apart_perplexity").alias("p")), quantile, "word_limit")
+    same = lambda: F.col("lang").eqNullSafe(F.col("of"))
+    joined = scored.join(limits, same(), "left").drop("of").join(word_limits, same(), "left")
+    joined = joined.withColumn("threshold", F.coalesce("limit", general)).withColumn("word_threshold", F.coalesce("word_limit", word_general)).withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("bigint")))
+    kept = F.coalesce(by_symbol <= F.col("threshold"), F.lit(False)) & F.coalesce(by_word <= F.col("word_threshold"), F.lit(True))
+    return joined.select("doc_id", "lang", "n_chars", "perplexity", "threshold", "n_words", "word_perplexity", "apart_perplexity", "word_threshold", kept.alias("kept"))

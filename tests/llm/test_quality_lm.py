@@ -1,6 +1,8 @@
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lakeaccord.llm import quality_lm as q
 
@@ -84,3 +86,65 @@ def test_nulls_repeats_and_empty_tables(spark):
     more = docs.union(docs).union(spark.createDataFrame([(None, prose(2), None, None, None)], docs.schema))
     assert sorted((str(i), k) for i, k in rows(q.quality(spark, more, none), "doc_id", "kept")) == [("0", True), ("0", True), ("1", False), ("1", False), ("None", True)]
     assert q.quality(spark, docs.limit(0), none).collect() == []
+
+
+GREEK = ["η γάτα κοιμάται στο σπίτι", "ο σκύλος τρέχει στον κήπο", "το παιδί διαβάζει ένα βιβλίο"]
+
+
+def words_of(text):
+    """Runs of ASCII letters, digits and code points of U+0080 to U+07FF; each later code point alone."""
+    return re.findall("[0-9a-z\u0080-\u07ff]+|[\u0800-\U0010ffff]", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def word_brute(texts):
+    """p(w2 | w1) by the textbook recursion over dictionaries, with one unknown word."""
+    pairs = Counter()
+    for text in texts:
+        s = ["", *words_of(text)]
+        pairs.update(zip(s, s[1:], strict=False))
+    single = Counter(b for _, b in pairs)
+
+    def discounts(counts):
+        n = Counter(counts.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
+        return [min(max(0.0, i - (i + 1) * y * n[i + 1] / n[i]), i * 0.99) if n[i] else 0.5 for i in (1, 2, 3)]
+
+    d2, d1, total, saved = discounts(pairs), discounts(single), Counter(), Counter()
+    for (a, _), n in pairs.items():
+        total[a] += n
+        saved[a] += d2[min(n, 3) - 1]
+    unseen = sum(d1[min(n, 3) - 1] for n in single.values()) / single.total() / (len(single) + 1)
+
+    def p(a, b):
+        n, m = pairs[a, b], single[b]
+        low = unseen + ((m - d1[min(m, 3) - 1]) / single.total() if m else 0.0)
+        return low if a not in total else ((n - d2[min(n, 3) - 1]) / total[a] if n else 0.0) + saved[a] / total[a] * low
+
+    assert abs(sum(p("", w) for w in single) + p("", "no such word") - 1) < 1e-9
+    return p
+
+
+def test_word_perplexity_of_every_script_equals_the_recursion(spark):
+    good = [" ".join(GREEK[(i + j) % 3] for j in range(i % 4 + 2)) + f" {i % 7}" for i in range(60)] + ["中文很好 ok 中文", "Да, это ДА"]
+    other = ["γη τάκα μάσιοται κτο στίπι " * 4, "文中好很 ok", "да это ДА", "#$% &*", "", None, "😀 x😀y"]
+    texts = good + other
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(good))], LABELS)
+    docs = documents(spark, texts, langs=("el",)).withColumn("lang", F.when(F.col("doc_id").isin(60, 61), "other").otherwise(F.col("lang")))
+    found = {r["doc_id"]: r for r in q.quality(spark, docs.repartition(4), labels).collect()}
+    p = word_brute(good)
+    for i, text in enumerate(texts):
+        s = words_of(text)
+        assert found[i]["n_words"] == len(s)
+        want = np.exp(-np.mean([np.log(p(a, b)) for a, b in zip(["", *s], s, strict=False)])) if s else None
+        assert found[i]["word_perplexity"] is None if want is None else abs(found[i]["word_perplexity"] / want - 1) < 1e-9
+    # Same lengths and blanks: only the letters tell these from the trusted texts.
+    assert all(found[i]["kept"] for i in range(60)) and not found[len(good)]["kept"]
+
+
+def test_the_word_model_grows_with_the_trusted_texts(spark):
+    sizes = []
+    for n in (20, 200):
+        own = documents(spark, [prose(i, 60, 100_000) for i in range(n)]).select(F.xxhash64("text").alias("key"), "text").mapInArrow(q._word_rows, q.WORD_ROWS)
+        pairs, words, _ = q.train_words(spark, own)
+        sizes.append((pairs.where("view = 0").count(), words.where("view = 0").count()))
+    assert all(b > 8 * a for a, b in zip(*sizes, strict=True))
