@@ -35,8 +35,8 @@ TEMPLATES = {
 #: Notices that count as the label before the dash.
 SHORT = {"mit-notice": "mit", "cc-by-nc-notice": "cc-by-nc"}
 
-#: Rarest licence words of a text that are looked up; words that an alignment may be off; share of a template's weight that must be aligned.
-RARE, SLACK, COVERED = 8, 3, 0.6
+#: Words that an alignment may be off; share of a template's weight that must be aligned.
+SLACK, COVERED = 3, 0.6
 
 WORDS = sorted({w for text, phrases in TEMPLATES.values() for t in (text, *phrases) for w in t.split()} | {w for p in BASE for w in p.split()})
 NUMBER = {w: i for i, w in enumerate(WORDS)}
@@ -96,10 +96,12 @@ def _runs(number: np.ndarray, rows: np.ndarray, phrase: str) -> np.ndarray:
 
 def _matcher(weights: np.ndarray) -> Callable:
     texts = {label: np.array([NUMBER[w] for w in text.split()]) for label, (text, _) in TEMPLATES.items()}
-    postings: dict[int, list[tuple[str, int]]] = {}
+    # A template's rarest words that weigh more than an alignment may miss: one of them stands in every alignment that counts.
+    postings: dict[str, list[tuple[int, int]]] = {}
     for label, numbers in texts.items():
-        for place, w in enumerate(numbers.tolist()):
-            postings.setdefault(w, []).append((label, place))
+        order = np.argsort(-weights[numbers], kind="stable")
+        enough = int(np.searchsorted(np.cumsum(weights[numbers[order]]), (1 - COVERED) * weights[numbers].sum() + 1e-9, "right")) + 1
+        postings[label] = [(place, int(numbers[place])) for place in order[:enough].tolist()]
     anchors = np.zeros(len(WORDS) + 1, bool)  # the rarest word of each mandatory phrase
     for _, phrases in TEMPLATES.values():
         for phrase in phrases:
@@ -107,29 +109,31 @@ def _matcher(weights: np.ndarray) -> Callable:
 
     def matched(number: np.ndarray, phrases: dict[str, list[np.ndarray]]) -> dict[str, float]:
         """Label -> share of the template's weight at the right relative places, for one text."""
-        places = np.flatnonzero(number >= 0)
-        words = number[places]
-        present = np.unique(words)
-        rare = present[np.argsort(-weights[present], kind="stable")[:RARE]]
-        votes: dict[tuple[str, int], float] = {}
-        for w in rare.tolist():
-            where = places[words == w]
-            for label, place in postings.get(w, ()):
-                for at in where.tolist():
-                    key = (label, (at - place) // (SLACK + 1))
-                    votes[key] = votes.get(key, 0.0) + weights[w]
+        where: dict[int, np.ndarray] = {}
+
+        def places(w: int) -> np.ndarray:
+            if w not in where:
+                where[w] = np.flatnonzero(number == w)
+            return where[w]
+
+        def within(sorted_: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            return np.searchsorted(sorted_, low, "left") < np.searchsorted(sorted_, high, "right")
+
         out: dict[str, float] = {}
-        for label, cell in votes:
-            numbers = texts[label]
-            low, high = cell * (SLACK + 1) - SLACK, (cell + 1) * (SLACK + 1) + SLACK
-            near = [p for ps in phrases[label] for p in ps.tolist() if low <= p <= high + len(numbers)]
-            if not near:
+        for label, numbers in texts.items():
+            hits = np.sort(np.concatenate(phrases[label]))
+            if not len(hits):
                 continue
-            hit = np.zeros(len(numbers), bool)
+            starts = np.concatenate([places(w) - place for place, w in postings[label]])
+            # Every cell whose reach holds the start that a rare word votes for.
+            cells = np.unique(np.concatenate([starts // (SLACK + 1) + k for k in range(-2, 2)]))
+            low, high = cells * (SLACK + 1) - SLACK, (cells + 1) * (SLACK + 1) + SLACK
+            near = within(hits, low, high + len(numbers))
+            low, high = low[near], high[near]
+            covered = np.zeros(len(low))
             for place, w in enumerate(numbers.tolist()):
-                stretch = number[max(0, low + place) : max(0, high + place + 1)]
-                hit[place] = bool((stretch == w).any())
-            share = float(weights[numbers[hit]].sum() / weights[numbers].sum())
+                covered += weights[w] * within(places(w), low + place, high + place)
+            share = float(covered.max(initial=0.0) / weights[numbers].sum())
             if share >= COVERED:
                 label = SHORT.get(label, label)
                 out[label] = max(out.get(label, 0.0), min(1.0, share))
@@ -172,11 +176,12 @@ def _matcher(weights: np.ndarray) -> Callable:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels (arrays), score.
 
-    The rarest licence words of a text, by their frequency over all texts, are
-    looked up in an index of template word positions. Postings that agree on
-    the place of a template are a candidate; it counts if one of the template's
-    mandatory phrases stands there and enough of its weight is aligned. Base
-    phrases are found at every place and always count.
+    The rarest words of each template, by their frequency over all texts, vote
+    for the places where the template may start: as many of them as weigh more
+    than an alignment may miss, so that no place is lost. It counts if one of
+    the template's mandatory phrases stands there and enough of its weight is
+    aligned, whatever else the text holds. Base phrases are found at every place
+    and always count.
 
     A null or empty text has no words, no labels and score 0. Repeated rows,
     and rows without doc_id, are scanned each. An empty table gives no rows.

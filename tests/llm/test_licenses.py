@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from lakeaccord.llm import licenses
 
 from .helpers import documents, odd_texts, prose, rows
@@ -47,3 +50,41 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = sorted(((str(i), n, s) for i, n, s in rows(licenses.scan(more), "doc_id", "n_base", "labels")))
     assert got == [("0", 1, ["mit"]), ("0", 1, ["mit"]), ("1", 0, []), ("1", 0, []), ("None", 1, ["cc-by-nc"])]
     assert licenses.scan(docs.limit(0)).collect() == []
+
+
+def test_notices_beside_others_and_very_frequent_ones_are_found(spark):
+    names = {label: text for label, (text, _) in licenses.TEMPLATES.items()}
+    everything = [names["bsd"] + ". " + names["mit"], f" {prose(5, 40)} ".join(names.values()), " ".join(reversed(names.values())), " ".join(licenses.WORDS) + f" {prose(6, 30)} " + names["mit"]]
+    frequent = [names["mit"] + " " + prose(i, 20) for i in range(200)]
+    got = dict(rows(licenses.scan(documents(spark, everything + frequent + [prose(900 + i, 50) for i in range(10)])), "doc_id", "labels"))
+    whole = sorted({licenses.SHORT.get(label, label) for label in names})
+    assert got[0] == ["bsd", "mit"] and got[1] == whole and got[2] == whole and "mit" in got[3]
+    assert all(got[len(everything) + i] == ["mit"] for i in range(200)) and all(not got[len(everything) + 200 + i] for i in range(10))
+
+
+def test_votes_lose_no_alignment_of_enough_weight():
+    rng = np.random.default_rng(4)
+    weights = rng.uniform(0.01, 5, len(licenses.WORDS))
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    texts = []
+    for _ in range(150):
+        bits = []
+        for label in rng.choice(list(licenses.TEMPLATES), 3):
+            bits += [w for w in licenses.TEMPLATES[label][0].split() if rng.random() > 0.2] + rng.choice(licenses.TEMPLATES[label][1]).split() + ["x"] * int(rng.integers(0, 9))
+        texts.append(" ".join(bits))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], schema=schema)
+    got = [r for out in licenses._matcher(weights)([batch]) for r in out.column("labels").to_pylist()]
+    for text, labels in zip(texts, got, strict=True):
+        words = text.split()
+        wanted = {label for phrase, label in PHRASES.items() if f" {phrase} " in f" {text} "}
+        for label, (template, phrases) in licenses.TEMPLATES.items():
+            numbers = template.split()
+            hits = [i for p in phrases for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+            total = sum(weights[licenses.NUMBER[w]] for w in numbers)
+            for cell in range(-20, len(words) // 4 + 2):
+                low, high = 4 * cell - 3, 4 * cell + 7
+                if any(low <= p <= high + len(numbers) for p in hits):
+                    share = sum(weights[licenses.NUMBER[w]] for k, w in enumerate(numbers) if w in words[max(0, low + k) : max(0, high + k + 1)]) / total
+                    if share >= licenses.COVERED:
+                        wanted.add(licenses.SHORT.get(label, label))
+        assert labels == sorted(wanted)
