@@ -30,7 +30,9 @@ def write_archives(pages: DataFrame, path: str, date: str = DATE) -> None:
     A payload is the html in UTF-8; a null one is empty. Of equal payloads of
     at least REVISIT_BYTES bytes the row with the largest page_id is a response
     and the others revisit it; rows that repeat this page_id are responses too,
-    and a null page_id counts as the smallest. Other columns are not read.
+    and a null page_id counts as the smallest. A url of any length is written
+    whole; one that ends like the magic has its last character percent-encoded,
+    since line ends of a header follow it. Other columns are not read.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.select("page_id", "url", "html", F.octet_length("html").alias("bytes"), F.unhex(F.sha1("html")).alias("digest"))
@@ -46,7 +48,7 @@ def write_archives(pages: DataFrame, path: str, date: str = DATE) -> None:
     rows = rows.select("*", revisit.alias("revisit"), http.alias("http"))
     header = F.concat(
         F.lit(MAGIC), line("WARC-Type", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))), named("WARC-Record-ID", F.col("page_id")), line("WARC-Date", F.lit(date)),
-        F.when(F.col("url").isNull(), F.lit("")).otherwise(line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20"))),
+        F.when(F.col("url").isNull(), F.lit("")).otherwise(line("WARC-Target-URI", F.regexp_replace(F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20"), r"WARC/1\.1\z", "WARC/1.%31"))),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         F.when(F.col("page_id").isNull(), F.lit("")).otherwise(line("WARC-Page-ID", F.col("page_id").cast("string"))),
         F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit(PROFILE)), named("WARC-Refers-To", F.col("first_id")))).otherwise(F.lit("")),
@@ -58,7 +60,7 @@ def write_archives(pages: DataFrame, path: str, date: str = DATE) -> None:
 
 def _header(line: bytes) -> tuple[dict[str, str], int, int] | None:
     """Fields, where the block starts, and its declared length; None where no record can start."""
-    end = line.find(b"\r\n\r\n", 0, 1 << 16)
+    end = line.find(b"\r\n\r\n")  # headers are as long as their url
     if end < 0:
         return None
     fields = {}

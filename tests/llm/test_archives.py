@@ -65,3 +65,21 @@ def test_rows_without_id_repeats_and_empty_tables(spark, tmp_path):
     assert got == sorted([(None, 1200, "revisit", 3), (3, 1200, "response", None), (3, 1200, "response", None), (2, 0, "response", None)], key=str)
     spark.createDataFrame([], PAGES).write.parquet(str(tmp_path / "none/pages.parquet"))
     assert web_archives(spark, str(tmp_path / "none")).collect() == []
+
+
+@pytest.mark.parametrize("bytes_", [5000, 100_000, 128 << 20])
+def test_urls_of_any_length_and_records_after_them(spark, tmp_path, bytes_):
+    urls = ["http://a.example/0", "http://a.example/" + "u" * 70_000, "http://a.example/2", "\n" * 30_000, "http://a.example/WARC/1.1", "ä" * 300_000 + "WARC/1.1", "http://a.example/6", None]
+    html = ["first", "line\r\n" * 30 + RECORD, "c" * 1500, "d" * 1500, "c" * 1500, "", RECORD * 3, "last"]
+    frame = spark.createDataFrame(list(zip(range(len(urls)), urls, html, strict=True)), PAGES)
+    frame.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    old, cost = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(bytes_))
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        got = [tuple(r) for r in web_archives(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    rows = [tuple(r) for r in frame.collect()]
+    assert len(got) == len(rows) and set(got) == expected(rows)
