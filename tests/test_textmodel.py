@@ -111,3 +111,22 @@ def test_a_bound_on_fitted_texts_still_scores_all(spark):
         assert train == 40 - sum(r["fit"] for r in folds if r["fold"] == fold)
         assert all(math.isclose(r["weight"], train / (4 * r["train_rows"])) for r in own)
         assert {r["terms"] for r in own} == {12 + 8 + train * 2}
+
+
+def test_a_bound_on_fitted_texts_cuts_no_corpus_statistics(spark, tmp_path):
+    rows = [("S", f"p{i:03d}", LABELS[i % 4], f"shared{i % 3} own{i}") for i in range(60)]
+    texts = spark.createDataFrame(rows, "combo string, pair_id string, label string, text string")
+    laid = texts.join(tm.cv_folds(texts, fit_rows=20), "pair_id").localCheckpoint()
+    of = {r["pair_id"]: r for r in laid.collect()}
+    assert sum(r["fit"] for r in of.values()) == 20
+    tm.write_fold_features(laid, ["combo"], str(tmp_path))
+    known = {r["term"]: r["train_df"] for r in spark.read.parquet(f"{tmp_path}/vocabulary").collect()}
+    for term in {t for r in rows for t in terms(r[3])}:
+        assert known[term] == [sum(term in terms(r[3]) and of[r[1]]["fold"] != f for r in rows) for f in range(5)]
+    for r in tm.cv_design(texts, fit_rows=20).collect():
+        train = [x for x in of.values() if x["fold"] != r["fold"]]
+        own = [x for x in train if x["label"] == r["label"]]
+        assert (r["all_rows"], r["train_rows"]) == (len(own), sum(x["fit"] for x in own))
+        assert math.isclose(r["all_weight"], len(train) / (4 * len(own)))
+        assert r["all_terms"] == len({t for x in train for t in terms(x["text"])})
+        assert r["terms"] == len({t for x in train if x["fit"] for t in terms(x["text"])})
