@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeaccord.llm import decontamination, licenses, neardup, packing, quality_lm, quality_rules, secrets, substrings, toxicity, warc
+from lakeaccord.llm import conversations, decontamination, licenses, neardup, packing, quality_lm, quality_rules, secrets, substrings, toxicity, warc
 from lakeaccord.llm.components import stored
 from lakeaccord.session import fresh_path
 
@@ -120,6 +120,60 @@ def adaptive_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.apply(measured).drop("lang", "source")
 
 
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/conversations.parquet")
+    hurt = conversations.damage(rows)
+    found = conversations.digests(hurt, conversations.audits(hurt)).withColumnRenamed("conv_id", "of")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
+    zeros = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return every.withColumns(zeros | {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))})
+
+
+def _conversation_repair_sql() -> str:
+    """The grammar's four states walked turn by turn, each with its cheapest edits: another way than the operator's table."""
+    kind = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+    some = lambda x, cost, edit, line: f"case when {x} is not null then {{'c': {x}.c + {cost}, 'a': {x}.a || '{edit}', 't': coalesce({x}.t || chr(10), '') || {line}}}::{kind} end"
+    drop = lambda x: f"case when {x} is not null then {{'c': {x}.c + 4, 'a': {x}.a || 'D', 't': {x}.t}}::{kind} end"
+    keep = lambda x, role: f"case when not forced and initial = '{role}' then {some(x, 'more', 'K', "role || ':' || text")} end"
+    turn = lambda x, role: f"case when not forced then {some(x, '(3 + more)', 'R', f'{chr(39)}{role}:{chr(39)} || text')} end"
+    filled = lambda cte: f"""{cte}_u as (select *, least(su, {", ".join(some(x, 3, "I", "'user:'") for x in ("s0", "ss", "sa"))}) as iu from {cte}),
+{cte}_i as (select *, least(sa, {some("iu", 3, "I", "'assistant:'")}) as ia from {cte}_u)"""
+    to_user = ", ".join(f(x, r) for x in ("w.s0", "w.ss", "w.ia") for f, r in ((keep, "u"), (turn, "user")))
+    return rf"""
+with recursive crc as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as t),
+said as (
+  select dense_rank() over (order by conv_id nulls first) as g, conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: unicode(c)::BIGINT) as points
+  from conversations),
+kinds as (select g, conv_id, turn, role, text, xor(list_reduce(points, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 as kind from said, crc),
+hurt as (
+  select g, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) as copy from kinds),
+placed as (select *, row_number() over (partition by g order by turn nulls first, sha256(length(role) || ':' || role || text)) as i from hurt),
+judged as (
+  select *, case when not regexp_matches(text, '[^ 	-]') then 'blank' when row_number() over (partition by g, role, text order by i) > 1 then 'duplicate'
+    when regexp_extract(text, '([^ 	-])[ 	-]*$', 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    lag(role) over (partition by g order by i) as before from placed),
+turns as (
+  select g, i, turn, role, text, fault, before, role[1] as initial, fault in ('blank', 'duplicate') as forced, case when fault = 'truncated' then 3 else 0 end as more from judged),
+figures as (
+  select g, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (i > 1 and before[1] || initial not in ('su', 'ua', 'au')) as illegal, max(i) as n from turns group by g),
+start as (select distinct g, 0::BIGINT as i, {{'c': 0, 'a': '', 't': NULL}}::{kind} as s0, NULL::{kind} as ss, NULL::{kind} as su, NULL::{kind} as sa from said),
+walk as (
+  select * from start
+  union all
+  (with {filled("walk")}
+  select w.g, r.i, {drop("w.s0")}, least({drop("w.ss")}, {keep("w.s0", "s")}), least({drop("w.iu")}, {to_user}), least({drop("w.ia")}, {keep("w.iu", "a")}, {turn("w.iu", "assistant")})
+  from walk_i w join turns r on r.g = w.g and r.i = w.i + 1)),
+{filled("walk")},
+best as (select g, i, least(s0, ia) as b from walk_i)
+select distinct s.conv_id, coalesce(f.gaps, 0)::BIGINT as gaps, coalesce(f.blank, 0) as blank, coalesce(f.duplicate, 0) as duplicate, coalesce(f.truncated, 0) as truncated, coalesce(f.illegal, 0) as illegal,
+  b.b.c as cost, b.b.a as audit, sha256(coalesce(b.b.t, '')) as repaired_sha256
+from said s left join figures f using (g) join best b on b.g = s.g and b.i = coalesce(f.n, 0)
+"""
+
+
 QUERIES = {
     "op5_text_quality": (text_quality, None),
     "op7_benchmark_leaks": (benchmark_leaks, None),
@@ -131,4 +185,5 @@ QUERIES = {
     "op4_token_sequences": (token_sequences, None),
     "op3_near_copies": (near_copies, NEAR_COPIES),
     "op10_repeated_passages": (repeated_passages, REPEATED_PASSAGES),
+    "op11_conversation_repair": (conversation_repair, _conversation_repair_sql()),
 }
