@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeaccord.llm import conversations, decontamination, licenses, neardup, packing, quality_lm, quality_rules, secrets, substrings, toxicity, warc
+from lakeaccord.llm import conversations, decontamination, language_model, licenses, neardup, packing, quality_lm, quality_rules, secrets, substrings, toxicity, vector_codes, warc
 from lakeaccord.llm.components import stored
 from lakeaccord.session import fresh_path
 
@@ -151,8 +151,11 @@ hurt as (
     unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) as copy from kinds),
 placed as (select *, row_number() over (partition by g order by turn nulls first, sha256(length(role) || ':' || role || text)) as i from hurt),
 judged as (
-  select *, case when not regexp_matches(text, '[^ 	-]') then 'blank' when row_number() over (partition by g, role, text order by i) > 1 then 'duplicate'
-    when regexp_extract(text, '([^ 	-])[ 	-]*$', 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+  select *, case when not regexp_matches(text, '[^ 	-
+]') then 'blank' when row_number() over (partition by g, role, text order by i) > 1 then 'duplicate'
+    when regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
     lag(role) over (partition by g order by i) as before from placed),
 turns as (
   select g, i, turn, role, text, fault, before, role[1] as initial, fault in ('blank', 'duplicate') as forced, case when fault = 'truncated' then 3 else 0 end as more from judged),
@@ -174,6 +177,42 @@ from said s left join figures f using (g) join best b on b.g = s.g and b.i = coa
 """
 
 
+def vector_compression(spark: SparkSession, folder: str) -> DataFrame:
+    found, books, _ = vector_codes.compress(spark, spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def _vector_compression_sql() -> str:
+    """Every part against every entry, round by round."""
+    assign = lambda k: f"""near{k} as (
+  select rid, p, arg_min(entry, {{'d': d, 'e': entry}}) as entry, min(d) as d
+  from (select a.rid, a.p, b.entry, sum((a.v - b.v) * (a.v - b.v))::BIGINT as d from parts a join book{k} b on a.p = b.p and a.pos = b.pos group by all) group by all)"""
+    rounds = ",\n".join(
+        f"""{assign(k)},
+book{k + 1} as (
+  select b.p, b.entry, b.pos, coalesce(m.v, b.v) as v from book{k} b
+  left join (select n.p, n.entry, a.pos, floor(sum(a.v)::DOUBLE / count(*))::BIGINT as v from near{k} n join parts a on a.rid = n.rid and a.p = n.p group by all) m using (p, entry, pos))"""
+        for k in range(vector_codes.ROUNDS)
+    )
+    last = vector_codes.ROUNDS
+    return f"""
+with kept as (
+  select row_number() over (order by vec_id nulls last, embedding) as rid, vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as (select rid, k // (len(v) // 4) as p, k % (len(v) // 4) as pos, v[k + 1] as v from (select rid, v, unnest(range(len(v))) as k from kept)),
+book0 as (select p, rid - 1 as entry, pos, v from parts where rid <= {vector_codes.ENTRIES}),
+{rounds},
+{assign(last)},
+codes as (select rid, string_agg(lower(printf('%02x', entry)), '' order by p) as code, sum(d)::BIGINT as error from near{last} group by rid),
+digest as (select sha256(string_agg(v::VARCHAR, ',' order by p, entry, pos)) as sha from book{last})
+select vec_id, code, error, (sum(error) over (partition by label))::BIGINT as label_error, sha as codebooks_sha256 from kept join codes using (rid), digest
+"""
+
+
+def text_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score(spark, _documents(spark, folder))
+
+
 QUERIES = {
     "op5_text_quality": (text_quality, None),
     "op7_benchmark_leaks": (benchmark_leaks, None),
@@ -185,5 +224,7 @@ QUERIES = {
     "op4_token_sequences": (token_sequences, None),
     "op3_near_copies": (near_copies, NEAR_COPIES),
     "op10_repeated_passages": (repeated_passages, REPEATED_PASSAGES),
+    "op12_text_scores": (text_scores, None),
+    "op13_vector_codes": (vector_compression, _vector_compression_sql()),
     "op11_conversation_repair": (conversation_repair, _conversation_repair_sql()),
 }
