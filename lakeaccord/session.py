@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "lakeaccord", cores: str = "8", memory: str = "8g") -> SparkSession:
@@ -55,6 +55,13 @@ def fresh_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/lakeaccord/{purpose}-{uuid.uuid4().hex}"
 
 
+def written(frame: DataFrame, purpose: str) -> DataFrame:
+    """The frame written below the shared folder and read again: computed once, and its lineage ends there."""
+    path = fresh_path(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def remove_written(spark: SparkSession) -> bool:
     """Removes all that :func:`fresh_path` gave; results that were not read to the end need it no more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lakeaccord")
