@@ -30,12 +30,16 @@ SENSITIVE = {
 }
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(?\w+\)?s?|change_?me|your[-_].*|example.*|placeholder|dummy|none|null|true|false|todo|undefined|string|test)$")
 
-#: name, operator, value: a quoted literal of one line, or a bare one.
+#: name, operator, value: a quoted literal of one line, or a bare one. A bare value ends where the next
+#: operator stands, but for `://`, what an address has before its `@`, and padding at its end.
+_STOP = rb"""\s"'`,;{}()\[\]<>&"""
 PAIR = re.compile(
-    rb"""(?<![\w.$-])["']?(?P<name>[A-Za-z_][\w.-]*+)["']?[\x20\t]*+(?::[\x20\t]*+[A-Za-z_][\w\[\]]*+[\x20\t]*+(?==))?(?:=>|:=|==?|:)(?![=:/])[\x20\t]*+"""
-    rb"""(?:(?P<prefix>[rRbBuUfF]{0,2})(?:"(?P<double>(?:[^"\\\r\n]|\\.)*+)"|'(?P<single>(?:[^'\\\r\n]|\\.)*+)')|(?P<bare>[^\s"'`,;{}()\[\]<>]++))"""
+    rb"""(?<![\w.$-])["']?\$?(?P<name>[A-Za-z_][\w.-]*+)["']?[\x20\t]*+(?::[\x20\t]*+[A-Za-z_][\w\[\]]*+[\x20\t]*+(?==))?(?:=>|:=|==?|:)(?![=:/])[\x20\t]*+"""
+    rb"""(?:(?P<prefix>[rRbBuUfF]{0,2})(?:"(?P<double>(?:[^"\\\r\n]|\\.)*+)"|'(?P<single>(?:[^'\\\r\n]|\\.)*+)')|(?P<bare>(?:[^=:""" + _STOP + rb"""]|://(?:[^/@""" + _STOP + rb"""]*+@)?|=++(?![^=""" + _STOP + rb"""]))++))"""
 )
-NAME = re.compile(rb"[A-Za-z_][\w.-]*")
+#: A further literal joined to one before it.
+JOINED = re.compile(rb"""[\x20\t]*+[+.]\s{0,80}+(?:"(?P<double>(?:[^"\\\r\n]|\\.)*+)"|'(?P<single>(?:[^'\\\r\n]|\\.)*+)')""")
+NAME = re.compile(rb"\$?([A-Za-z_][\w.-]*)")
 _PARTS = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -60,13 +64,28 @@ def literal_score(value: str) -> float:
 
 
 def assignments(text: bytes) -> list[tuple[str, bytes, int, int, bool]]:
-    """(name, value, start, end, quoted) of the assignments in source or configuration text, in order."""
+    """(name, value, start, end, quoted) of the assignments in source or configuration text, in order.
+
+    Literals that `+` or `.` joins are one value, from the first one's start to
+    the last one's end. The search goes on where a bare value begins, for it may
+    be the next name; as it ends at the next operator, no part of a text is
+    read more than a few times.
+    """
     out, at = [], 0
     while found := PAIR.search(text, at):
-        for kind in ("double", "single", "bare"):
-            if found[kind] is not None:
-                out.append((found["name"].decode("ascii"), found[kind], *found.span(kind), kind != "bare"))
-        at = found.start("bare") if found["bare"] is not None else found.end()  # a bare value may be the next name
+        name, end = found["name"].decode("ascii"), found.end()
+        kind = next(k for k in ("double", "single", "bare") if found[k] is not None)
+        if kind == "bare":
+            out.append((name, found[kind], *found.span(kind), False))
+            at = found.start("bare")
+        else:
+            parts, (start, last) = [found[kind]], found.span(kind)
+            while more := JOINED.match(text, end):
+                kind = "double" if more["double"] is not None else "single"
+                parts.append(more[kind])
+                last, end = more.end(kind), more.end()
+            out.append((name, b"".join(parts), start, last, True))
+            at = end
         at = max(at, found.end("name"))
     return out
 
@@ -74,23 +93,48 @@ def assignments(text: bytes) -> list[tuple[str, bytes, int, int, bool]]:
 def literals(text: bytes) -> list[tuple[int, int, float]]:
     """(start, end, score) of literals whose targets are sensitive.
 
-    A bare value that is the name of an earlier constant stands for its
-    literal, so a literal is scored by every name that it reaches.
+    A bare value that is the name of a constant stands for its literal: the
+    nearest one before it, or else the last one behind it, so a literal is
+    scored by every name that it reaches. A `$` before a name is no part of it.
     """
     bound: dict[str, tuple[bytes, int, int]] = {}
     best: dict[tuple[int, int], float] = {}
-    for name, value, start, end, quoted in assignments(text):
-        literal = (value, start, end)
-        if not quoted and NAME.fullmatch(value) and value.decode("ascii", "replace") in bound:
-            literal = bound[value.decode("ascii")]
-        elif not quoted and literal[0].endswith((b".", b":")):
-            literal = (value[:-1], start, end - 1)
-        bound[name] = literal
+    later: list[tuple[str, str, tuple]] = []
+
+    def reach(name: str, literal: tuple[bytes, int, int]) -> None:
         sensitive = name_score(name)
         if sensitive >= LEAST_SCORE:
             score = sensitive * literal_score(literal[0].decode("utf-8", "replace"))
             if score >= LEAST_SCORE:
                 best[literal[1:]] = max(score, best.get(literal[1:], 0.0))
+
+    references: dict[str, str] = {}
+    for name, value, start, end, quoted in assignments(text):
+        literal = (value, start, end)
+        other = None if quoted else NAME.fullmatch(value)
+        if other:
+            known = other[1].decode("ascii")
+            if known in bound:
+                bound[name] = bound[known]
+                reach(name, bound[name])
+            else:
+                references[name] = known
+                later.append((name, known, literal))
+            continue
+        if not quoted and value.endswith((b".", b":")):
+            literal = (value[:-1], start, end - 1)
+        if quoted or not value.startswith(b"$"):
+            bound[name] = literal
+            reach(name, literal)
+    for name, known, literal in later:
+        seen = {name}
+        while known not in bound and known in references and known not in seen:
+            seen.add(known)
+            known = references[known]
+        if known in bound:
+            reach(name, bound[known])
+        elif not literal[0].startswith(b"$"):
+            reach(name, literal)
     return [(start, end, score) for (start, end), score in best.items()]
 
 

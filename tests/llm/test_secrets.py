@@ -71,3 +71,24 @@ def test_nulls_repeats_and_empty_tables(spark):
     more = docs.union(docs).union(spark.createDataFrame([(None, "token=abcdefgh1", None, None, None)], docs.schema))
     assert sorted((str(i), len(s)) for i, s in rows(secrets.scan(more), "doc_id", "spans")) == [(i, 2) for i in ("0", "0", "1", "1", "None")]
     assert secrets.scan(docs.limit(0)).collect() == [] and secrets.redact(docs.limit(0)).collect() == []
+
+
+def test_marked_names_later_constants_and_joined_literals():
+    assert literal("$db_pass = 'Xk29fj3kfQ';") == ["Xk29fj3kfQ"]
+    assert literal("password = KEY\nKEY = 'Zx81-qq07-Lm'") == ["Zx81-qq07-Lm"]
+    assert literal("$api_token = $raw;\n$raw = \"Zx81-qq07-Lm\";") == ["Zx81-qq07-Lm"]
+    assert literal('api_key = "Zx81" + "-qq07-Lm"') == ['Zx81" + "-qq07-Lm']
+    assert literal('title = "Zx81" . "-qq07-Lm"') == []
+    assert literal("password=$OTHER\na = b\nb = a\npassword = a") == []
+    assert literal("dsn=postgres://user:Zx81qq07@host/db") == ["postgres://user:Zx81qq07@host/db"]
+    assert literal("url?auth_token=aB3$kd93jf&x=1") == ["aB3$kd93jf"]
+    assert literal("SECRET_KEY=abcD12ef==\n") == ["abcD12ef=="]
+
+
+def test_a_megabyte_without_blanks_takes_seconds():
+    import time
+
+    for unit in ("k1=v1&", "a:b:c:", "a/b=c/d=", "a=", "'a'+", "://u:", "=", "x"):
+        started = time.process_time()
+        secrets.find((unit * (1_000_000 // len(unit))).encode())
+        assert time.process_time() - started < 30, unit
