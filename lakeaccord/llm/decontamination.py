@@ -13,7 +13,7 @@ from . import textarrays as ta
 from .toxicity import _folded
 
 #: Errors allowed, as a share of an item's characters.
-ERRORS = 0.06
+ERRORS = 0.08
 #: Bytes of benchmark text that are searched for at a time.
 BLOCK_BYTES = 4 << 20
 
@@ -110,6 +110,8 @@ def _searcher(items: list[tuple[int | None, str]], errors: float) -> Callable:
         distance, stop = closest(tables[k][0], len(item), text[low:high])
         if distance > most:
             return None
+        if not most and (text[low + stop - len(item) - 1 : low + stop - len(item)] not in ("", " ") or text[low + stop : low + stop + 1] not in ("", " ")):
+            return None  # an item without error budget is whole words
         _, length = closest(tables[k][1], len(item), text[max(0, low + stop - len(item) - most) : low + stop][::-1])
         return low + stop - length, low + stop, distance
 
@@ -186,7 +188,8 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, errors: fl
     characters of that form. An item with a budget of k errors is cut into k+1
     pieces, one of which must occur exactly. Around each exact piece Myers'
     algorithm finds the closest stretch. Places of an item that overlap are
-    given once. The benchmark is taken in blocks of bounded size, each of which
+    given once. An item too short for any error is found as whole words only.
+    The benchmark is taken in blocks of bounded size, each of which
     goes to all tasks in one pass over the texts; the texts are never shuffled.
 
     Null or empty texts and items have no places. Items that repeat, and rows of

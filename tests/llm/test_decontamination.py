@@ -73,3 +73,10 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert d.leaks(spark, more, benchmark).count() == 9
     assert d.leaks(spark, more, benchmark.limit(0)).collect() == [] and d.leaks(spark, docs.limit(0), benchmark).collect() == []
     assert d.clean(more, benchmark.limit(0)).count() == 5 and d.clean(more, benchmark).count() == 2
+
+
+def test_short_items_are_whole_words(spark):
+    docs = documents(spark, ["see you yesterday", "Yes", "he said yes to it", "a", "banana", "it is a yes"])
+    benchmark = spark.createDataFrame([(0, "Yes"), (1, "a")], ITEMS)
+    assert set(rows(d.leaks(spark, docs, benchmark), "doc_id", "item_id")) == {(1, 0), (2, 0), (3, 1), (5, 0), (5, 1)}
+    assert sorted(rows(d.clean(docs, benchmark), "doc_id")) == [(0,), (4,)]
