@@ -183,7 +183,7 @@ def train_words(spark: SparkSession, own: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def score_words(rows: DataFrame, model: tuple[DataFrame, DataFrame, list[float]]) -> DataFrame:
-    """key, n_words, word_perplexity, apart_perplexity: distinct pairs meet the model's tables once, then the texts.
+    """key, word_perplexity, apart_perplexity: distinct pairs meet the model's tables once, then the texts.
 
     Every join side grows with the corpus and none is broadcast. Rows of equal
     texts add up under one key, which leaves their perplexity as it is.
@@ -199,22 +199,23 @@ def score_words(rows: DataFrame, model: tuple[DataFrame, DataFrame, list[float]]
     joined = rows.join(met.select("w1", "w2", *log).hint("merge"), ["w1", "w2"])
     apart = F.when(F.col("key").bitwiseAND(1) == 0, F.col("log1")).otherwise(F.col("log2"))
     perplexity = lambda log: F.exp(-F.sum(F.col("n") * log) / F.sum("n"))
-    return joined.groupBy("key").agg(F.sum("n").alias("n_words"), perplexity(F.col("log0")).alias("word_perplexity"), perplexity(apart).alias("apart_perplexity"))
+    return joined.groupBy("key").agg(perplexity(F.col("log0")).alias("word_perplexity"), perplexity(apart).alias("apart_perplexity"))
 
 
 def _scored(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = model.value
         for batch in batches:
-            out, sizes = np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows, np.int64)
+            out, sizes, words = np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for first, data, offsets in ta.blocks(batch.column(3)):
                 codes, begins = _codes(data, offsets)
                 total = np.concatenate([[0.0], np.cumsum(logs[codes], dtype=np.float64)])
                 n = np.diff(begins)
                 own = slice(first, first + len(n))
                 sizes[own] = n
+                words[own] = np.bincount(_words(data, offsets)[1], minlength=len(n))
                 out[own] = np.exp(-(total[begins[1:]] - total[begins[:-1]]) / np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes), pa.array(out, mask=sizes == 0)], names=["doc_id", "lang", "key", "n_chars", "perplexity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes), pa.array(out, mask=sizes == 0), pa.array(words)], names=["doc_id", "lang", "key", "n_chars", "perplexity", "n_words"])
 
     return run
 
@@ -253,7 +254,7 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: f
     # Trusted ids grow with the corpus and are no broadcast side, so the plan is the same at every size.
     texts = stored(spark, docs.join(good.hint("merge"), "doc_id", "left_semi").select("key", "text"), "trusted")
     model = spark.sparkContext.broadcast(table(train(spark, texts)))
-    scored = stored(spark, docs.mapInArrow(_scored(model), "doc_id bigint, lang string, key bigint, n_chars bigint, perplexity double"), "perplexity")
+    scored = stored(spark, docs.mapInArrow(_scored(model), "doc_id bigint, lang string, key bigint, n_chars bigint, perplexity double, n_words bigint"), "perplexity")
     own = stored(spark, texts.mapInArrow(_word_rows, WORD_ROWS), "trusted-words")
     every = docs.select("key", "text").mapInArrow(_word_rows, WORD_ROWS)
     words = stored(spark, score_words(every, train_words(spark, own)), "word-perplexity")
@@ -265,6 +266,6 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: f
     word_limits, word_general = _limits(trusted.where("n_words > 0").select("lang", F.col("apart_perplexity").alias("p")), quantile, "word_limit")
     same = lambda: F.col("lang").eqNullSafe(F.col("of"))
     joined = scored.join(limits, same(), "left").drop("of").join(word_limits, same(), "left")
-    joined = joined.withColumn("threshold", F.coalesce("limit", general)).withColumn("word_threshold", F.coalesce("word_limit", word_general)).withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("bigint")))
+    joined = joined.withColumn("threshold", F.coalesce("limit", general)).withColumn("word_threshold", F.coalesce("word_limit", word_general))
     kept = F.coalesce(by_symbol <= F.col("threshold"), F.lit(False)) & F.coalesce(by_word <= F.col("word_threshold"), F.lit(True))
     return joined.select("doc_id", "lang", "n_chars", "perplexity", "threshold", "n_words", "word_perplexity", "apart_perplexity", "word_threshold", kept.alias("kept"))

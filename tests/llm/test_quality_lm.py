@@ -148,3 +148,15 @@ def test_the_word_model_grows_with_the_trusted_texts(spark):
         pairs, words, _ = q.train_words(spark, own)
         sizes.append((pairs.where("view = 0").count(), words.where("view = 0").count()))
     assert all(b > 8 * a for a, b in zip(*sizes, strict=True))
+
+
+def test_copies_of_a_text_change_nothing_about_it(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    good = [prose(i, 40) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], LABELS)
+    one, many = documents(spark, [*good, text]), documents(spark, [*good, *[text] * 50])
+    single = next(r for r in q.quality(spark, one, labels).collect() if r["doc_id"] == 60)
+    copies = [r for r in q.quality(spark, many, labels).collect() if r["doc_id"] >= 60]
+    assert single["n_words"] == 13 and len(copies) == 50
+    for r in copies:
+        assert r["n_words"] == 13 and r["kept"] == single["kept"] and abs(r["word_perplexity"] / single["word_perplexity"] - 1) < 1e-9
