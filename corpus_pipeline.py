@@ -9,28 +9,47 @@ from lakeaccord.llm.components import stored
 from lakeaccord.llm.queries import tokenizer_path
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker, where the session allows more.
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Whole rows pass through Python workers in every stage, so each worker holds a few batches of this size.
+
+    The setting belongs to the session, because a stage runs when its result is written.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the grammar learns from the labels outside the held-out fold."""
+    _small_batches(spark)
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest doc_id."""
+    _small_batches(spark)
     return neardup.one_of_each(spark, docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    _small_batches(spark)
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark in the text; n_chars follows."""
+    _small_batches(spark)
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
+    _small_batches(spark)
     return packing.pack(spark, docs, tokenizer_path())
 
 
