@@ -53,10 +53,10 @@ def confusion_counts(truth: DataFrame, predictions: DataFrame, run: list[str], k
 
 
 def _supports(truth: DataFrame) -> dict[str, Column]:
-    """Pairs per label and in all, as scalar subqueries."""
-    found = {label: truth.agg(F.count_if(F.col("label") == label)).scalar() for label in LABELS}
-    found["all"] = truth.agg(F.count(F.lit(1))).scalar()
-    return found
+    """Pairs per label and in all: one aggregate over the truth, read as one scalar struct."""
+    counts = [F.count_if(F.col("label") == label).alias(label) for label in LABELS]
+    found = truth.agg(F.struct(*counts, F.count(F.lit(1)).alias("all")).alias("s")).scalar()
+    return {name: found[name] for name in [*LABELS, "all"]}
 
 
 def _ratio(part: Column, whole: Column) -> Column:

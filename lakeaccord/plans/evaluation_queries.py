@@ -15,7 +15,7 @@ from ..operators.evidence import evidence_text, with_subsets
 from ..operators.sampling import stratified_folds
 from ..session import fresh_path
 from ..sources.lake import table
-from ..sources.results import read_predictions, read_summary, row_of_combo, write_summary
+from ..sources.results import read_predictions, read_summary, row_of_combo, settled_predictions, write_summary
 from ..streaming.incremental import label_unseen, open_runs, run_factorial
 from . import shards
 from .evidence_queries import _EVIDENCE, blocks
@@ -320,27 +320,54 @@ def _rule(order, combo, run):
     return label
 
 
+class _Down(Exception):
+    """The labeller of a test run has stopped."""
+
+
+CHUNKS, STOPPED_AFTER = 5, 2
+
+
+def _stops(label, after: int):
+    """The labeller, but it fails when it is asked for one more chunk than ``after``."""
+    calls = []
+
+    def run(todo):
+        calls.append(1)
+        if len(calls) > after:
+            raise _Down
+        return label(todo)
+
+    return run
+
+
 def resume_run(spark, folder):
-    """A run stopped after its English pairs and continued over all; finished runs cost nothing."""
+    """A run that stops in its third chunk is continued over all pairs; finished runs cost nothing."""
     documents = table(spark, folder, "documents").select(F.col("doc_id").alias("pair_id"), "text", "lang", "source", "n_chars")
     path = fresh_path(spark, "predictions")
     rule = lambda model, combo, run: _rule(MODELS[model], combo, run)
-    label_unseen(documents.filter(F.col("lang") == "en"), rule("long_first", "DS", 1), path, "long_first", "DS", 1)
-    run_factorial(documents, rule, path, ["long_first", "text_first"], ["DS"])
-    again = run_factorial(documents, rule, path, ["long_first", "text_first"], ["DS"])
+    chunk = -(-documents.count() // CHUNKS)
+    try:
+        label_unseen(documents, _stops(rule("long_first", "DS", 1), STOPPED_AFTER), path, "long_first", "DS", 1, chunk)
+    except _Down:
+        pass
+    kept = read_predictions(spark, path).count()
+    run_factorial(documents, rule, path, ["long_first", "text_first"], ["DS"], chunk_rows=chunk)
+    again = run_factorial(documents, rule, path, ["long_first", "text_first"], ["DS"], chunk_rows=chunk)
     wanted = documents.select(
         F.explode(F.array(*[F.lit(m) for m in MODELS])).alias("model"), F.lit("DS").alias("combo"), F.lit(1).alias("run")
     ).distinct()
     left = open_runs(spark, wanted, documents, path).withColumn("pair_id", F.lit(None).cast("bigint")).withColumn(
-        "pred", F.concat(F.lit("open, relabelled "), F.lit(str(again)))
+        "pred", F.concat(F.lit(f"open, {kept} kept by the stopped run, relabelled "), F.lit(str(again)))
     )
-    done = read_predictions(spark, path).withColumn("pair_id", F.col("pair_id").cast("bigint"))
+    done = settled_predictions(spark, path).withColumn("pair_id", F.col("pair_id").cast("bigint"))
     return done.unionByName(left.select(done.columns))
 
 
 RESUME_SQL = f"""WITH {_cte()}
 SELECT pair_id, coalesce(pred, 'UNKNOWN') AS pred, model, combo, run FROM raw WHERE combo = 'DS' AND model <> 'lang_first'
-UNION ALL SELECT NULL, 'open, relabelled 0', 'lang_first', 'DS', 1"""
+UNION ALL SELECT NULL, 'open, ' || count(*) || ' kept by the stopped run, relabelled 0', 'lang_first', 'DS', 1
+FROM documents, (SELECT (count(*) + ceil(count(*) / {CHUNKS}) - 1)::BIGINT // ceil(count(*) / {CHUNKS})::BIGINT AS k FROM documents)
+WHERE ('0x' || md5('chunk|' || doc_id)[1:8])::BIGINT % k < {STOPPED_AFTER}"""
 
 
 # --- a whole run: evidence, labeller, append, resumption, summary ----------

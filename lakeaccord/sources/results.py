@@ -23,6 +23,15 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], PREDICTION_SCHEMA)
 
 
+def settled_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """One prediction per pair, model, combo and run.
+
+    Two writers that label the same chunk at once leave two appends; the
+    prediction that comes first in text order counts, whoever wrote it.
+    """
+    return read_predictions(spark, path).groupBy("pair_id", *RUN_KEYS).agg(F.min("pred").alias("pred")).select("pair_id", "pred", *RUN_KEYS)
+
+
 def append_predictions(predictions: DataFrame, path: str) -> None:
     """Adds predictions; pair ids are kept as text."""
     rows = predictions.select(F.col("pair_id").cast("string").alias("pair_id"), "pred", *RUN_KEYS)

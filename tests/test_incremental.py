@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lakeaccord.sources.results import read_predictions
-from lakeaccord.streaming.incremental import finished_runs, label_unseen, open_runs, run_factorial
+from lakeaccord.sources.results import append_predictions, read_predictions, settled_predictions
+from lakeaccord.streaming.incremental import chunk_of, finished_runs, label_unseen, open_runs, run_factorial
 
 
 def labeller(answer):
@@ -45,3 +45,39 @@ def test_factorial_skips_finished_runs(spark, tmp_path):
     assert run_factorial(pairs, label_for, path, ["m", "n"], ["D", "L"], runs=2) == 20
     wanted = spark.createDataFrame([("m", "D", 1), ("n", "L", 2), ("n", "S", 1)], "model string, combo string, run int")
     assert [tuple(r) for r in open_runs(spark, wanted, pairs, path).collect()] == [("n", "S", 1)]
+
+
+def test_a_run_that_fails_in_its_third_chunk_keeps_the_first_two(spark, tmp_path):
+    path = str(tmp_path / "p")
+    pairs = spark.range(200).select(F.col("id").alias("pair_id"), F.lit("x").alias("_id"), F.lit(7).alias("chunk"))
+    asked = []
+
+    def broken(todo):
+        asked.append(todo.count())
+        if len(asked) == 3:
+            return todo.select("pair_id", F.raise_error(F.lit("down")).cast("string").alias("pred"))
+        return labeller("early")(todo)
+
+    with pytest.raises(Exception, match="down"):
+        label_unseen(pairs, broken, path, "m", "D", 1, chunk_rows=40)
+    kept = {r["pair_id"] for r in read_predictions(spark, path).collect()}
+    assert len(asked) == 3 and 0 < len(kept) == asked[0] + asked[1] < 200
+    assert kept == {str(r["pair_id"]) for r in pairs.where(chunk_of(F.col("pair_id"), 5) < 2).collect()}
+    again = []
+    counting = lambda todo: again.append(todo.count()) or labeller("late")(todo)
+    assert label_unseen(pairs, counting, path, "m", "D", 1, chunk_rows=40) == 200 - len(kept)
+    assert len(again) == 3 and again[0] == asked[2]
+    assert label_unseen(pairs, counting, path, "m", "D", 1, chunk_rows=40) == 0 and len(again) == 3
+    counts = {r["pred"]: r["count"] for r in read_predictions(spark, path).groupBy("pred").count().collect()}
+    assert counts == {"early": len(kept), "late": 200 - len(kept)}
+
+
+def test_two_writers_leave_one_prediction_per_pair(spark, tmp_path):
+    path = str(tmp_path / "p")
+    pairs = spark.range(20).select(F.col("id").alias("pair_id"))
+    for answer in ("b", "a", "a"):
+        rows = pairs.select("pair_id", F.lit(answer).alias("pred"), F.lit("m").alias("model"), F.lit("D").alias("combo"), F.lit(1).alias("run"))
+        append_predictions(rows, path)
+    assert read_predictions(spark, path).count() == 60
+    assert [(r["pred"], r["count"]) for r in settled_predictions(spark, path).groupBy("pred").count().collect()] == [("a", 20)]
+    assert label_unseen(pairs, labeller("c"), path, "m", "D", 1, chunk_rows=5) == 0
