@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeaccord.labels import LABELS
 from lakeaccord.operators import textmodel as tm
+from lakeaccord.session import fresh_path
 
 TEXTS = ["Sales in USD, sales_usd a", "Été à la plage", "x", "", "sales in EUR 2023-01", "plage plage plage la"]
 
@@ -81,10 +82,12 @@ def test_cross_validation_learns_a_clear_signal(spark):
     words = ["currency euro dollar", "monthly annual weekly", "same equal copy", "other entity thing"]
     rows = [("S", f"p{i:03d}", LABELS[i % 4], f"{words[i % 4]} noise{i % 7}") for i in range(80)]
     texts = spark.createDataFrame(rows, "combo string, pair_id string, label string, text string")
-    means, pooled = tm.cross_validate(texts, ["S"])
+    means, pooled, certified = tm.cross_validate(texts, ["S"])
     r = means.first()
     assert r["n_folds"] == 5 and r["accuracy_mean"] == 1.0 and r["macro_f1_std"] == 0.0
     assert pooled.first()["n_pairs"] == 80
+    assert sorted((r["fold"], r["train_rows"]) for r in certified.collect()) == [(f, 64) for f in range(5)]
+    assert all(r["gradient"] < 1e-3 for r in certified.collect())
 
 
 def test_every_text_is_scored_and_unknown_combinations_are_errors(spark):
@@ -101,7 +104,9 @@ def test_a_bound_on_fitted_texts_still_scores_all(spark):
     texts = spark.createDataFrame(rows, "combo string, pair_id string, label string, text string")
     folds = tm.cv_folds(texts, fit_rows=40).collect()
     assert len(folds) == 120 and sum(r["fit"] for r in folds) == 40
-    means, pooled = tm.cross_validate(texts, ["S"], fit_rows=40)
+    means, pooled, certified = tm.cross_validate(texts, ["S"], fit_rows=40)
+    # The solver is as wide as the fitted texts' terms, whatever the corpus holds.
+    assert max(r["coefficients"] for r in certified.collect()) <= 12 + 8 + 2 * 40
     assert pooled.first()["n_pairs"] == 120 and means.first()["accuracy_mean"] > 0.95
     design = tm.cv_design(texts, fit_rows=40).collect()
     assert len(design) == 20 and sum(r["test_rows"] for r in design) == 120
@@ -116,11 +121,14 @@ def test_a_bound_on_fitted_texts_still_scores_all(spark):
 def test_a_bound_on_fitted_texts_cuts_no_corpus_statistics(spark, tmp_path):
     rows = [("S", f"p{i:03d}", LABELS[i % 4], f"shared{i % 3} own{i}") for i in range(60)]
     texts = spark.createDataFrame(rows, "combo string, pair_id string, label string, text string")
-    laid = texts.join(tm.cv_folds(texts, fit_rows=20), "pair_id").localCheckpoint()
+    laid = texts.join(tm.cv_folds(texts, fit_rows=20), "pair_id").cache()
     of = {r["pair_id"]: r for r in laid.collect()}
     assert sum(r["fit"] for r in of.values()) == 20
     tm.write_fold_features(laid, ["combo"], str(tmp_path))
     known = {r["term"]: r["train_df"] for r in spark.read.parquet(f"{tmp_path}/vocabulary").collect()}
+    index = {r["term"]: r["index"] for r in spark.read.parquet(f"{tmp_path}/vocabulary").collect()}
+    fitted = {t for r in rows if of[r[1]]["fit"] for t in terms(r[3])}
+    assert {t for t, i in index.items() if i is not None} == fitted and sorted(i for i in index.values() if i is not None) == list(range(1, len(fitted) + 1))
     for term in {t for r in rows for t in terms(r[3])}:
         assert known[term] == [sum(term in terms(r[3]) and of[r[1]]["fold"] != f for r in rows) for f in range(5)]
     for r in tm.cv_design(texts, fit_rows=20).collect():
@@ -130,3 +138,30 @@ def test_a_bound_on_fitted_texts_cuts_no_corpus_statistics(spark, tmp_path):
         assert math.isclose(r["all_weight"], len(train) / (4 * len(own)))
         assert r["all_terms"] == len({t for x in train for t in terms(x["text"])})
         assert r["terms"] == len({t for x in train if x["fit"] for t in terms(x["text"])})
+
+
+def test_a_certificate_is_the_gradient_of_the_objective(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 5)) * (rng.random((90, 5)) < 0.5)
+    y = np.array([0] * 40 + [1] * 25 + [2] * 15 + [3] * 10)
+    train = spark.createDataFrame([(float(t), Vectors.sparse(5, [(i, float(c)) for i, c in enumerate(v) if c])) for t, v in zip(y, x)], ["label", "features"])
+    model = tm.fit_classifier(train)
+    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    scores = x @ w.T + b
+    p = np.exp(scores - scores.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    weight = 90 / (4 * np.bincount(y))[y]
+    residual = (p - np.eye(4)[y]) * weight[:, None]
+    gradient = max(np.abs(residual.T @ x / weight.sum() + w / 90).max(), np.abs(residual.sum(0) / weight.sum()).max())
+    found = tm.certificate(model, train).first()
+    assert abs(found["gradient"] - gradient) < 1e-9 and found["train_rows"] == 90 and found["coefficients"] == 5
+
+
+def test_terms_of_texts_that_are_not_fitted_have_no_column(spark):
+    words = ["currency euro dollar", "monthly annual weekly", "same equal copy", "other entity thing"]
+    rows = [("S", f"p{i:03d}", LABELS[i % 4], f"{words[i % 4]} only{i} rare{i % 11}") for i in range(120)]
+    texts = spark.createDataFrame(rows, "combo string, pair_id string, label string, text string")
+    marked = texts.join(tm.cv_folds(texts, fit_rows=30), "pair_id")
+    size = tm.write_fold_features(marked, ["combo"], fresh_path(spark, "bounded"))
+    fitted = {t for r in marked.where("fit").collect() for t in terms(r["text"])}
+    assert size == len(fitted) < len({t for r in rows for t in terms(r[3])}) / 2
