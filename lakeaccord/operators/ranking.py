@@ -68,17 +68,23 @@ def rank_by_hash(
     return ranked.drop(*_HELPERS)
 
 
-def keep_smallest(df: DataFrame, group: list[str], digest: str, quota: Column) -> DataFrame:
+def keep_smallest(df: DataFrame, group: list[str], digest: str, quota: Column, few_groups: bool = False) -> DataFrame:
     """The ``quota`` rows of each group that come first in digest order.
 
     ``quota`` may use ``_group_rows``, the size of the group. Per group one row
     says in which bucket the quota is reached; rows of later buckets go no
     further, and only the kept ones are shuffled and, in that bucket, ranked.
+    With ``few_groups``, as labels are, these rows of groups are one scalar map
+    that every task looks its rows up in: no row is dealt out by its group, so
+    a group of a third of all rows is no large key. Otherwise they are joined.
     """
     rows = _with_group(df, group).withColumn("_bucket", hash_bucket(F.col(digest)))
     filled = _bucket_starts(rows, F.count(F.lit(1))).withColumn("_left", quota - F.col("_before")).filter(F.col("_left") > 0)
     edge = F.max(F.struct("_bucket", "_left")).alias("_edge")
-    if group:
+    if group and few_groups:
+        edges = filled.groupBy("_group").agg(edge).agg(F.map_from_entries(F.collect_list(F.struct("_group", "_edge")))).scalar()
+        limited = rows.withColumn("_edge", F.element_at(edges, F.col("_group")))
+    elif group:
         limited = rows.join(filled.groupBy("_group").agg(edge), "_group")
     else:
         limited = rows.withColumn("_edge", filled.agg(edge).scalar())

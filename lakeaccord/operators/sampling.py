@@ -93,7 +93,7 @@ def stratified_sample(df: DataFrame, label: str, key: list[str], n: int, seed: i
     share = F.bround(F.col("_group_rows") * F.lit(float(n)) / total, 0).cast("bigint")
     keys = [F.col(k) for k in key]
     hashed = df.withColumn("_pick", order_hash(seed, *keys))
-    picked = keep_smallest(hashed, [label], "_pick", F.greatest(F.lit(1).cast("bigint"), share))
+    picked = keep_smallest(hashed, [label], "_pick", F.greatest(F.lit(1).cast("bigint"), share), few_groups=True)
     mixed = picked.withColumn("_mix", order_hash(f"{seed}-mix", *keys))
     return keep_smallest(mixed, [], "_mix", F.lit(n).cast("bigint")).drop("_pick", "_mix")
 

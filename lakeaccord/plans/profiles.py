@@ -1,11 +1,16 @@
 """Column profiles of the lake tables."""
 
+from pyspark.sql import functions as F
+
 from ..functions.text import quoted_list
+from ..operators import kept_profile as kp
 from ..operators.profile import manifests, profile, profile_lake
 from ..operators.sampling import MANIFEST_SAMPLE, sample_values
+from ..session import fresh_path
+from ..sources.catalog import read_manifests, write_many_manifests
 from ..sources.lake import table, tables
+from . import shards
 from .schemas import NUMERIC, SCHEMAS
-from pyspark.sql import functions as F
 
 
 def _column_sql(name: str, column: str, kind: str) -> str:
@@ -59,7 +64,40 @@ SELECT p.table_name AS "table", p.col_name, row_count, null_count, distinct_coun
 FROM p JOIN s USING (col_name)"""
 
 
+def shard_manifests(spark, folder):
+    """Manifests of all supplier tables, written in one job and read back."""
+    path = fresh_path(spark, "manifests")
+    write_many_manifests(shards.shard_rows(spark, folder), "table_name", shards.COLUMNS, shards.KEY, path)
+    return read_manifests(spark, path).withColumn("sampled", F.size("sample_values")).drop("sample_values")
+
+
+SHARD_MANIFESTS_SQL = f"""WITH {shards.SHARD}, {shards.STATS}
+SELECT *, least({MANIFEST_SAMPLE}, row_count - null_count)::INTEGER AS sampled FROM stats"""
+
+PARTS = 3
+
+
+def kept_profile(spark, folder):
+    """The order lines' profile merged from the sketches of three parts, one of them written twice, beside the exact one."""
+    lines = table(spark, folder, "lineitem")
+    path = fresh_path(spark, "summaries")
+    for part in [*range(PARTS), 0]:
+        kp.keep_summary(lines.where(F.col("l_orderkey") % PARTS == part), "lineitem", f"part-{part}", path)
+    merged = kp.merged_profile(kp.read_summaries(spark, path))
+    exact = profile(lines, "lineitem").select("col_name", F.col("distinct_count").alias("exact"))
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * kp.DISTINCT_ERROR)
+    figures = [F.round(c, 4).alias(c) for c in ("min", "max", "mean", "std")]
+    inside = (F.col("quantiles")[1] >= F.col("min")) & (F.col("quantiles")[1] <= F.col("max"))
+    return merged.join(exact, "col_name").select("table_name", "col_name", "row_count", "null_count", *figures, near.alias("distinct_within_error"), inside.alias("median_inside"))
+
+
+KEPT_PROFILE_SQL = f"""SELECT table_name, col_name, row_count, null_count, min, max, mean, std, true AS distinct_within_error,
+  CASE WHEN mean IS NOT NULL THEN true END AS median_inside FROM ({_profile_sql(["lineitem"])})"""
+
+
 QUERIES = {
+    "shard_manifests": (shard_manifests, SHARD_MANIFESTS_SQL),
+    "kept_profile": (kept_profile, KEPT_PROFILE_SQL),
     "profile_lineitem": (profile_lineitem, _profile_sql(["lineitem"])),
     "profile_lake": (profile_all, _profile_sql(SCHEMAS)),
     "manifest_part": (manifest_part, _manifest_sql()),

@@ -75,6 +75,19 @@ def write_manifests(tables: dict[str, DataFrame], keys: dict[str, list[str]], fo
     return skipped
 
 
+def write_many_manifests(rows: DataFrame, group: str, columns: list[str], key: list[str], folder: str) -> None:
+    """Manifests of all tables that one frame holds, told apart by the column ``group``, in one job.
+
+    Tables of one schema, a few or a million, are profiled and sampled
+    together; each manifest becomes one file below a folder of its table, as
+    :func:`write_manifests` lays them out, and :func:`read_manifests` reads both.
+    """
+    named = rows.withColumn(group, F.col(group).cast("string"))
+    samples = sample_values(named, columns, key, n=MANIFEST_SAMPLE, table=F.col(group))
+    found = manifests(profile(named.select(group, *columns), group=group), samples)
+    found.withColumn("_of", F.col("table")).repartition("_of").write.mode("overwrite").partitionBy("_of").json(folder)
+
+
 # --- declarations ----------------------------------------------------------
 
 # Where one statement ends and the next begins, and its table name.
