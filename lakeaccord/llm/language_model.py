@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -20,7 +21,7 @@ ORDER, STRENGTH = 2, 200.0
 #: Held out: texts whose crc32 of the id as text leaves HELD_OUT modulo FOLDS.
 FOLDS, HELD_OUT = 7, 2
 #: Text bytes of a block of documents, n-grams asked for of a shard, and tasks of a stage at most.
-BLOCK_BYTES, SHARD_GRAMS, MOST_TASKS = 8 << 20, 2 << 20, 20_000
+BLOCK_BYTES, SHARD_GRAMS, MOST_TASKS = 4 << 20, 2 << 20, 20_000
 
 _END_HASH = np.uint64(0x5851F42D4C957F2D)
 _JOIN = np.uint64(0xA0761D6478BD642F)
@@ -126,9 +127,10 @@ class Automaton:
                 states = slice(first[k], first[k + 1])
                 self.fail[states] = first[k - 1] + shorter if k else 0
                 self.back[states] = np.log10(strength / (count + strength))
-        self.weights, self.targets = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(len(self.weights)), strict=True))
-        self.fail, self.back = self.fail.tolist(), self.back.tolist()
+        # Plain arrays of eight bytes an arc: a list would hold an object for each.
+        self.weights, self.targets = array("d", np.concatenate(weights).tobytes()), array("q", np.concatenate(targets).tobytes())
+        self.arcs = dict(zip(array("q", np.concatenate(keys).tobytes()), range(len(self.weights)), strict=True))
+        self.fail, self.back = array("q", self.fail.tobytes()), array("d", self.back.tobytes())
 
     def score(self, ids: list[int]) -> float:
         """The log10 probability of the words: one walk from left to right that carries the state."""
@@ -238,8 +240,7 @@ def _scored(n: int, v: int, order: int, strength: float) -> Callable:
                 totals.append(total)
             automaton = Automaton(grams, totals, n, v, strength)
             known, base = totals[0][grams.ids] > 0, np.log10((totals[0] + 1) / (n + v + 1))[grams.ids]
-            ids = grams.ids.tolist()
-            scores = [automaton.score(ids[a : a + size]) for a, size in zip(grams.begins.tolist(), grams.sizes.tolist(), strict=True)]
+            scores = [automaton.score(grams.ids[a : a + size].tolist()) for a, size in zip(grams.begins.tolist(), grams.sizes.tolist(), strict=True)]
             columns = [texts.column("doc_id").combine_chunks(), texts.column("held_out").combine_chunks(), pa.array(grams.sizes), pa.array(np.add.reduceat(known.astype(np.int64), grams.begins)),
                        pa.array(np.full(len(scores), n, np.int64)), pa.array(np.add.reduceat(base, grams.begins)), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
