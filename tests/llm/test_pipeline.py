@@ -51,4 +51,4 @@ def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
 
 
 def test_every_dealt_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
