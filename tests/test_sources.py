@@ -76,6 +76,16 @@ def test_lineage_keeps_the_last_event_of_an_output(spark, tmp_path):
     assert {(r["input"], r["output"], r["job"]) for r in edges} == {("a", "t", "late"), ("b", "t", "late")}
 
 
+def test_last_events_are_found_before_their_texts_are_fetched(spark, tmp_path):
+    path = tmp_path / "lineage.json"
+    path.write_text(json.dumps([*EVENTS, *EVENTS]))
+    found = lineage.lineage_by_table(lineage.read_lineage(spark, str(path)))
+    got = {r["table_name"]: (r["job"], r["inputs"], r["sql"]) for r in found.collect()}
+    assert got == {"t": ("late", ["a", "b"], "SELECT 1"), "u": ("", [], "Q")} and found.count() == 2
+    scans = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert len(scans) == 2 and "max(place" in scans[1] and "entry" not in scans[1]
+
+
 def test_lineage_events_are_numbered_per_output(spark, tmp_path):
     jobs = spark.createDataFrame(
         [(1, "ingest", ["source/x"], ["a", "b"], "S1"), (2, "aggregate", ["a"], ["c"], "S2")],
