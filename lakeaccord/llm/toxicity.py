@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +90,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         for first, data, offsets, starts, ends, rows in _words(batch.column(1)):
-            shorter, length = np.zeros(len(starts), np.uint64), max(BEGINNINGS)
+            shorter = np.zeros(len(starts), np.uint64)
             keys, of, above = [], [], []
             for step, (at, key) in enumerate(_arcs(data, starts, ends)):
                 keys.append(key)
@@ -97,7 +98,6 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 above.append(shorter[at].copy() if step else np.zeros(len(at), np.uint64))
                 if step < len(BEGINNINGS):
                     shorter[at] = key
-            del length
             keys, of, above = np.concatenate(keys), np.concatenate(of), np.concatenate(above)
             order = np.lexsort((keys, of))
             keys, of, above = keys[order], of[order], above[order]
@@ -110,27 +110,97 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(above[example].view(np.int64)), pa.array(bad), pa.array(every - bad)], names=["arc", "shorter", "toxic", "clean"])
 
 
-def _run(words: list[str], weights: list[float]) -> float:
-    """The transducers in step over a stretch of a clause: the weight of what is said to a target, affirmed and as one's own."""
-    denied = reported = aimed = announced = struck = 0
-    last = total = 0.0
-    for word, weight in zip(words, weights, strict=True):
-        kind = CLASS.get(word)
-        if kind == "threat" and not weight:
-            weight = THREAT_WEIGHT * (3.0 if announced else 0.3)
-            struck = 4
-        if weight:
-            last = weight * (0.25 if denied else 1.0) * (0.5 if reported else 1.0) * (1.5 if aimed else 1.0)
-            total += last
-        elif kind == "target":
-            total += last * (1.0 if struck else 0.25 if last else 0.0)  # it names whom the words before were for
-            last = 0.0
-        denied = 4 if kind == "negation" else max(0, denied - 1)
-        aimed = 5 if kind == "target" else max(0, aimed - 1)
-        announced = 4 if kind == "future" else max(0, announced - 1)
-        struck = max(0, struck - 1)
-        reported = reported or kind == "report"
-    return total
+class Transducer(NamedTuple):
+    """Tables [state, symbol]: the state after, the symbol said, the weight of a hit, and what a pending hit is paid again."""
+
+    after: np.ndarray
+    says: np.ndarray
+    own: np.ndarray
+    again: np.ndarray
+
+
+#: Symbols read and said. A hit has a weight; a struck target stands shortly behind a threat.
+OTHER, INSULTING, TARGETED, DENYING, REPORTING, ANNOUNCING, THREATENING, HIT, STRUCK = SYMBOLS = range(9)
+READ = {"target": TARGETED, "negation": DENYING, "report": REPORTING, "future": ANNOUNCING, "threat": THREATENING}
+
+
+def transducer(states: int, rule: Callable[[int, int], tuple[int, int, float, float]]) -> Transducer:
+    """The tables of a rule (state, symbol) -> (state after, symbol said, weight of a hit, pay again)."""
+    cells = [[rule(s, x) for x in SYMBOLS] for s in range(states)]
+    kinds = (np.int64, np.int64, float, float)
+    return Transducer(*(np.array([[cell[k] for cell in row] for row in cells], kind) for k, kind in enumerate(kinds)))
+
+
+def composed(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer whose second part reads what the first one says; weights of hits multiply."""
+    i, j = np.divmod(np.arange(len(first.after) * len(second.after)), len(second.after))
+    said = first.says[i]
+    then = j[:, None]
+    return Transducer(
+        first.after[i] * len(second.after) + second.after[then, said], second.says[then, said],
+        first.own[i] * second.own[then, said], first.again[i] + second.again[then, said],
+    )
+
+
+def _insult(_: int, x: int) -> tuple[int, int, float, float]:
+    return 0, HIT if x == INSULTING else x, 1.0, 0.0
+
+
+def _threat(state: int, x: int) -> tuple[int, int, float, float]:
+    """A threat is a hit, a heavy one within four words of an announcement; a target within three words behind it is struck."""
+    announced, struck = divmod(state, 5)
+    said = HIT if x == THREATENING else STRUCK if x == TARGETED and struck else x
+    weight = (3.0 if announced else 0.3) if x == THREATENING else 1.0
+    after = 4 if x == ANNOUNCING else max(0, announced - 1)
+    return after * 5 + (3 if x == THREATENING else max(0, struck - 1)), said, weight, 0.0
+
+
+def _target(state: int, x: int) -> tuple[int, int, float, float]:
+    """A hit within five words of a target weighs more; a target behind a hit pays it again, in full if it was struck."""
+    aimed = x in (TARGETED, STRUCK)
+    return 5 if aimed else max(0, state - 1), x, 1.5 if state else 1.0, (1.0 if x == STRUCK else 0.25) if aimed else 0.0
+
+
+def _negation(state: int, x: int) -> tuple[int, int, float, float]:
+    return 4 if x == DENYING else max(0, state - 1), x, 0.25 if state else 1.0, 0.0
+
+
+def _report(state: int, x: int) -> tuple[int, int, float, float]:
+    return int(state or x == REPORTING), x, 0.5 if state else 1.0, 0.0
+
+
+PARTS = ((1, _insult), (25, _threat), (6, _target), (5, _negation), (2, _report))
+#: 1,500 states, made once.
+GRAMMAR = reduce(composed, (transducer(*part) for part in PARTS))
+
+
+def clause_weights(symbols: np.ndarray, weights: np.ndarray, begins: np.ndarray, ends: np.ndarray, grammar: Transducer = GRAMMAR) -> np.ndarray:
+    """What the grammar gives each stretch of words begins[i]:ends[i]: its hits, and those that a later target pays again.
+
+    All stretches go through the table side by side, one word of each at a step.
+    """
+    order = np.argsort(begins - ends, kind="stable")
+    at, lengths = begins[order], (ends - begins)[order]
+    hit_weights = np.where(grammar.says == HIT, grammar.own, 0.0)
+    state = np.zeros(len(at), np.int64)
+    pending, total = np.zeros(len(at)), np.zeros(len(at))
+    for step in range(int(lengths.max(initial=0))):
+        n = int(np.searchsorted(-lengths, -step))  # the longer ones come first
+        x, s = symbols[at[:n] + step], state[:n]
+        hit, again = hit_weights[s, x] * weights[at[:n] + step], grammar.again[s, x]
+        total[:n] += hit + again * pending[:n]
+        pending[:n] = np.where(hit > 0, hit, np.where(again > 0, 0.0, pending[:n]))
+        state[:n] = grammar.after[s, x]
+    out = np.zeros(len(at))
+    out[order] = total
+    return out
+
+
+def _word_keys(words: Iterable[str]) -> np.ndarray:
+    """Arc keys of whole words."""
+    parts = [np.frombuffer(word.encode(), np.uint8) for word in words]
+    ends = np.cumsum([len(p) for p in parts])
+    return ta.word_hashes(np.concatenate(parts), ends - [len(p) for p in parts], ends) ^ np.uint64(1)
 
 
 def _scanner(arcs: dict[int, float]) -> Callable:
@@ -139,6 +209,9 @@ def _scanner(arcs: dict[int, float]) -> Callable:
     values = np.array([arcs[k if k < 1 << 63 else k - (1 << 64)] for k in keys.tolist()], float)
     flags = np.zeros(FLAGS, bool)
     flags[(keys % np.uint64(FLAGS)).astype(np.int64)] = True
+    class_keys = _word_keys(CLASS)
+    class_symbols = np.array([READ[kind] for kind in CLASS.values()])[np.argsort(class_keys)]
+    class_keys = np.sort(class_keys)
 
     def scan(column) -> tuple[np.ndarray, np.ndarray]:
         sums, counts = np.zeros(len(column)), np.zeros(len(column), np.int64)
@@ -154,17 +227,18 @@ def _scanner(arcs: dict[int, float]) -> Callable:
                 continue
             clause = np.cumsum(CLAUSE_END[data])[starts]
             edge = (rows[hits[1:]] != rows[hits[:-1]]) | (clause[hits[1:]] != clause[hits[:-1]]) | (np.diff(hits) > REACH)
-            groups = np.split(hits, np.flatnonzero(edge) + 1)
-            text = data.tobytes()
-            for group in groups:
-                low, high = int(group[0]), int(group[-1])
-                begin = max(low - REACH, int(np.searchsorted(clause, clause[low])), int(np.searchsorted(rows, rows[low])))
-                end = min(high + REACH + 1, int(np.searchsorted(clause, clause[low], "right")), int(np.searchsorted(rows, rows[low], "right")))
-                words = [text[starts[i] : ends[i]].decode("utf-8", "replace") for i in range(begin, end)]
-                own = weight[begin:end].tolist()
-                found = _run(words, [0.0 if w in CLASS else x for w, x in zip(words, own, strict=True)])
-                sums[first + rows[low]] += found
-                counts[first + rows[low]] += found > 0
+            cut = np.flatnonzero(edge)
+            low, high = hits[np.concatenate([[0], cut + 1])], hits[np.concatenate([cut, [len(hits) - 1]])]
+            begin = np.maximum.reduce([low - REACH, np.searchsorted(clause, clause[low]), np.searchsorted(rows, rows[low])])
+            end = np.minimum.reduce([high + REACH + 1, np.searchsorted(clause, clause[low], "right"), np.searchsorted(rows, rows[low], "right")])
+            size = end - begin
+            stop = np.cumsum(size)
+            near = np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]))
+            place = np.minimum(np.searchsorted(class_keys, key[near]), len(class_keys) - 1)  # the last arcs are whole words
+            symbols = np.where(class_keys[place] == key[near], class_symbols[place], np.where(weight[near] > 0, INSULTING, OTHER))
+            found = clause_weights(symbols, np.where(symbols == THREATENING, THREAT_WEIGHT, weight[near]), stop - size, stop)
+            np.add.at(sums, first + rows[low], found)
+            np.add.at(counts, first + rows[low], found > 0)
         return sums, counts
 
     return scan
@@ -172,12 +246,10 @@ def _scanner(arcs: dict[int, float]) -> Callable:
 
 def _base_arcs() -> dict[int, float]:
     """The word lists as arcs; threats are arcs too, so that their clauses are read."""
-    arcs = {}
-    for words, weight in ((INSULT, SEED_WEIGHT), (THREAT, 0.01)):
-        for word in words.split():
-            data = np.frombuffer(word.encode(), np.uint8)
-            arcs[int((ta.word_hashes(data, np.array([0]), np.array([len(data)])) ^ np.uint64(1)).view(np.int64)[0])] = weight
-    return arcs
+    return {
+        int(key): weight for words, weight in ((INSULT, SEED_WEIGHT), (THREAT, 0.01))
+        for key in _word_keys(words.split()).view(np.int64)
+    }
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -267,10 +339,11 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, weight, clauses.
 
-    Clauses with an insult or a threat go through transducers for insult,
-    threat, target, negation and reported speech that work in step: a negated
-    or reported insult weighs less, one with a target more, and a threat needs
-    an announcement and a target for its full weight. The insult arcs are a
+    Clauses with an insult or a threat go through one table of states, composed
+    of transducers for insult, threat, target, negation and reported speech,
+    each of which reads what the one before it says: a negated or reported
+    insult weighs less, one with a target more, and a threat needs an
+    announcement and a target for its full weight. The insult arcs are a
     plain word list and learned word beginnings; scores follow the summed
     weight of the matched clauses.
 

@@ -1,5 +1,8 @@
 import zlib
 
+import numpy as np
+import pytest
+
 from lakeaccord.llm import toxicity as t
 
 from .helpers import LABELS, documents, odd_texts, prose, rows
@@ -21,6 +24,59 @@ def test_grammar(spark):
     assert threat > 3 * loose and none == 0
 
 
+def plain(symbols, weights):
+    """A plain interpreter of the grammar: one word after the other, with counters."""
+    denied = reported = aimed = announced = struck = 0
+    last = total = 0.0
+    for x, weight in zip(symbols, weights, strict=True):
+        if x == t.THREATENING:
+            weight *= 3.0 if announced else 0.3
+            struck = 4
+        if x in (t.INSULTING, t.THREATENING):
+            last = weight * (0.25 if denied else 1.0) * (0.5 if reported else 1.0) * (1.5 if aimed else 1.0)
+            total += last
+        elif x == t.TARGETED:
+            total += last * (1.0 if struck else 0.25)
+            last = 0.0
+        denied = 4 if x == t.DENYING else max(0, denied - 1)
+        aimed = 5 if x == t.TARGETED else max(0, aimed - 1)
+        announced = 4 if x == t.ANNOUNCING else max(0, announced - 1)
+        struck = max(0, struck - 1)
+        reported = reported or x == t.REPORTING
+    return total
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_composed_table_is_the_plain_interpreter(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.concatenate([rng.integers(0, 40, 300), [0, 5000]])
+    ends = np.cumsum(lengths)
+    symbols = rng.choice(7, ends[-1], p=[0.4, 0.1, 0.12, 0.1, 0.03, 0.1, 0.15])
+    weights = np.where(symbols == t.THREATENING, t.THREAT_WEIGHT, rng.uniform(2, 9, len(symbols)))
+    found = t.clause_weights(symbols, weights, ends - lengths, ends)
+    want = [plain(symbols[a:b], weights[a:b]) for a, b in zip(ends - lengths, ends, strict=True)]
+    assert np.allclose(found, want, rtol=1e-12) and found.max() > 100 and found[300] == 0
+
+
+def test_composition_reads_what_the_first_part_says():
+    parts = [t.transducer(*part) for part in t.PARTS]
+    assert len(t.GRAMMAR.after) == np.prod([states for states, _ in t.PARTS])
+    rng, states, state = np.random.default_rng(1), [0] * len(parts), 0
+    for x in rng.integers(0, 7, 2000).tolist():
+        said, own, again = x, 1.0, 0.0
+        for k, part in enumerate(parts):
+            here = states[k], said
+            own, again = own * part.own[here], again + part.again[here]
+            states[k], said = int(part.after[here]), int(part.says[here])
+        assert (said, own, again) == (t.GRAMMAR.says[state, x], t.GRAMMAR.own[state, x], t.GRAMMAR.again[state, x])
+        state = t.GRAMMAR.after[state, x]
+
+
+def test_a_long_text_of_hits_and_stretches_at_its_edges(spark):
+    first, last, long = weight(spark, "idiot", "well well idiot", "you idiot " * 50_000)
+    assert first == last == t.SEED_WEIGHT and long > 100_000
+
+
 def test_capitals_and_accents(spark):
     a, b, c = weight(spark, "IDIOT", "Estúpido ESTÚPIDO", "idiotic-idiots")
     assert a > 0 and b > a and c == 0
