@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lakeaccord.llm import licenses
 
@@ -88,3 +89,17 @@ def test_votes_lose_no_alignment_of_enough_weight():
                     if share >= licenses.COVERED:
                         wanted.add(licenses.SHORT.get(label, label))
         assert labels == sorted(wanted)
+
+
+def test_templates_from_a_table(spark):
+    text = "This Program may be copied under version 7 of the Harbour Licence, provided that the notice of its keeper stays"
+    table = spark.createDataFrame(
+        [("harbour-7", text, ["Harbour Licence"]), ("harbour-7", "harbour licence seven applies", ["licence seven"]), ("none", "no phrase", []), (None, "x", ["x"]), ("empty", None, None), ("empty", "...", ["!"])],
+        "label string, text string, phrases array<string>",
+    )
+    docs = documents(spark, [prose(1, 30) + " " + text.upper(), "HARBOUR LICENCE seven applies", "the harbour licence", "under the mit license", licenses.TEMPLATES["bsd"][0]])
+    got = dict(rows(licenses.scan(docs, table), "doc_id", "labels"))
+    assert got == {0: ["harbour-7"], 1: ["harbour-7"], 2: [], 3: ["mit"], 4: []}
+    with pytest.raises(ValueError):
+        licenses.read_notices(table, 3)
+    assert dict(rows(licenses.scan(docs, table.limit(0)), "doc_id", "labels")) == {0: [], 1: [], 2: [], 3: ["mit"], 4: []}
