@@ -146,15 +146,17 @@ def rank_with_ties(df: DataFrame, value: str, out: str = "rank", rows_per_bucket
     """``rank() over (order by value desc)`` for a numeric value.
 
     Equal values are counted before anything is sorted, so a value that fills a
-    third of the table is one row of the ranking. Rows without a value stay,
-    with a null rank.
+    third of the table is one row of the ranking. NaN ranks above all numbers.
+    Rows without a value stay, with a null rank.
     """
+    # NaN shares the range of the highest values; inside a range the value itself decides.
+    key = F.when(F.isnan(value), float("-inf")).otherwise(-F.col(value))
     present = df.filter(F.col(value).isNotNull())
     counted = present.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    bounds = _range_bounds(present.select((-F.col(value)).alias("_key")), "_key", rows_per_bucket)
-    falling = _with_range_bucket(counted.withColumn("_key", -F.col(value)), "_key", bounds)
+    bounds = _range_bounds(present.select(key.alias("_key")), "_key", rows_per_bucket)
+    falling = _with_range_bucket(counted.withColumn("_key", key), "_key", bounds)
     starts = _bucket_starts(falling, F.sum("_n"))
-    inside = W.partitionBy("_group", "_bucket").orderBy("_key").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_group", "_bucket").orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1)
     ranked = falling.join(starts, ["_group", "_bucket"]).select(
         F.col(value).alias("_value"),
         (F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1).alias(out),

@@ -1,8 +1,8 @@
 """Ready-made queries over a lake folder, each with the SQL it must agree with."""
 
-from . import catalog_queries, conflict_queries, evaluation_queries, evidence_queries, profiles, rollup_queries, samples, text_queries
+from . import catalog_queries, conflict_queries, evaluation_queries, evidence_queries, gap_queries, profiles, rollup_queries, samples, text_queries
 
-MODULES = [profiles, samples, rollup_queries, evidence_queries, conflict_queries, catalog_queries, evaluation_queries, text_queries]
+MODULES = [profiles, samples, rollup_queries, evidence_queries, conflict_queries, catalog_queries, evaluation_queries, text_queries, gap_queries]
 
 
 def registry() -> dict:

@@ -73,6 +73,14 @@ def test_rank_with_ties(spark, values):
     }
 
 
+def test_ranks_of_nan_infinity_and_null(spark):
+    values = [float("nan"), float("inf"), 3.0, None, float("-inf"), float("nan"), 3.0]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    for rows in (1, 1000):
+        ranked = {r["i"]: r["r"] for r in rank_with_ties(df, "v", "r", rows_per_bucket=rows).collect()}
+        assert ranked == {0: 1, 5: 1, 1: 3, 2: 4, 6: 4, 4: 6, 3: None}
+
+
 def test_hot_value_is_one_row_of_the_ranking(spark):
     df = spark.createDataFrame([(i, 5.0 if i % 3 == 0 else float(i)) for i in range(3000)], "i int, v double")
     ranked = {r["i"]: r["r"] for r in rank_with_ties(df, "v", "r").collect()}
