@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -58,3 +59,42 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert got == [("0", True), ("0", True), ("1", False), ("1", False), ("2", False), ("2", False), ("9", True), ("None", True)]
     assert r.apply(r.measure(docs.limit(0))).collect() == []
     assert r.apply(r.measure(docs.where("doc_id > 0"))).count() == 2
+
+
+def plain_verdicts(texts, groups):
+    """kept by exact quartiles: of the language and source, of the language, or of all rows, whichever is the narrowest with enough rows."""
+
+    def figures(text):
+        n, chars, symbols, lines, repeats = brute(text)
+        return (symbols / chars, lines * 10 / (n + 10), repeats / n, chars / n) if n else None
+
+    found = [figures(t) for t in texts]
+    have = [i for i, f in enumerate(found) if f]
+    kept = []
+    for i, text in enumerate(texts):
+        n, _, _, _, repeats = brute(text)
+        good = n >= 10 and 100 * repeats <= 20 * n
+        levels = [[j for j in have if groups[j] == groups[i]], [j for j in have if groups[j][0] == groups[i][0]], have]
+        level = next((x for x in levels if len(x) >= r.GROUP_ROWS), have)
+        for k, (slack, both) in enumerate(r.MEASURES.values()):
+            values = sorted(found[j][k] for j in level)
+            low, high = (values[math.ceil(q * len(values)) - 1] for q in (0.25, 0.75))
+            good = good and found[i][k] <= high + r.FENCE * (high - low) + slack and (not both or found[i][k] >= low - r.FENCE * (high - low) - slack)
+        kept.append(good)
+    return kept
+
+
+def test_verdicts_equal_exact_quartiles(spark):
+    rng = random.Random(8)
+    langs = ["en"] * 34 + ["de"] * 4 + ["fr", None]
+    texts = []
+    for i in range(600):
+        words = prose(i, rng.choice([5, 12, 60, 150]), rng.choice([30, 4000])).split()
+        for _ in range(rng.choice([0, 0, 0, 3, 40])):
+            words.insert(rng.randrange(len(words)), rng.choice(["#", "$$", "x" * 60, "\nsame line\n", "a", "one two one two"]))
+        texts.append(" ".join(words))
+    texts += [None, "", " \n "]
+    docs = documents(spark, texts, langs=langs)
+    found = dict(rows(r.apply(r.measure(docs.repartition(7))), "doc_id", "kept"))
+    want = plain_verdicts(texts, [(langs[i % len(langs)], i % 3) for i in range(len(texts))])
+    assert [found[i] for i in range(len(texts))] == want and 100 < sum(want) < 590
