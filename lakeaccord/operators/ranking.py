@@ -8,8 +8,6 @@ over the few buckets, and only rows of one bucket are sorted together.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,11 +102,13 @@ def _range_bounds(df: DataFrame, key: str, rows_per_bucket: int) -> list[float]:
     repetition of a lost task, sees the same ones. They come from a sketch:
     ranks are exact for any bounds, only the sizes of the buckets depend on it.
     """
-    rows = df.select(F.col(key).cast("double").alias("k"))
+    rows = df.select(F.col(key).cast("double").alias("k")).filter(F.abs("k") < float("inf"))
     buckets = min(RANGE_BUCKETS, 1 + rows.count() // rows_per_bucket)
     shares = [i / buckets for i in range(buckets + 1)]
     found = rows.approxQuantile("k", shares, 0.1 / buckets)
-    return sorted({bound for bound in found if math.isfinite(bound)})
+    # Any bounds do; with two of them no bucket is a constant, and joins keep their keys.
+    bounds = sorted(set(found)) or [0.0]
+    return bounds if len(bounds) > 1 else bounds * 2
 
 
 def _with_range_bucket(rows: DataFrame, key: str, bounds: list[float]) -> DataFrame:
@@ -118,8 +118,6 @@ def _with_range_bucket(rows: DataFrame, key: str, bounds: list[float]) -> DataFr
     into ``CELL_PARTS`` equal widths. Equal keys share a bucket and buckets are
     in key order.
     """
-    if len(bounds) < 2:
-        return _with_group(rows, []).withColumn("_bucket", F.lit(0))
     literal = "array(" + ", ".join(f"{b!r}D" for b in bounds) + ")"
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     value = f"CAST(`{key}` AS DOUBLE)"
