@@ -114,9 +114,12 @@ def temporal_rollup(
 def average_per_group(
     df: DataFrame, keys: list[str], value: str, digits: int = 1, out: str = "average", as_type: str | None = None,
 ) -> DataFrame:
-    """Mean rounded half-even; with an exact type, ties do not depend on row order."""
+    """Mean rounded half-even on the scaled value; with an exact type, ties do not depend on row order.
+
+    The quotient of a tie may be the double next to it, which scaling makes the tie again.
+    """
     mean = F.try_divide(F.sum(_amount(value, as_type)).cast("double"), F.count(value).cast("double"))
-    return df.groupBy(*keys).agg(F.bround(mean, digits).alias(out))
+    return df.groupBy(*keys).agg(round_half_even(mean, digits).alias(out))
 
 
 def bin_label(index: Column, width: int, last: int) -> Column:

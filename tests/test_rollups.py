@@ -51,6 +51,12 @@ def test_period_labels(spark):
     assert [tuple(r) for r in got] == [("2023-01", "Q1-2023", "2022-W52", "2023"), ("2024-12", "Q4-2024", "2025-W01", "2024")]
 
 
+def test_average_per_group_rounds_ties_of_inexact_quotients_to_even(spark):
+    # 4.95 / 3 is 1.6500000000000001, 11.85 / 3 is 3.9499999999999997: ties of the amounts.
+    df = spark.createDataFrame([(k, v) for k, v in (("a", 1.65), ("b", 3.95), ("c", -1.65)) for _ in range(3)], "k string, v double")
+    assert rows(ru.average_per_group(df, ["k"], "v", as_type="decimal(18,4)"), "k", "average") == [("a", 1.6), ("b", 4.0), ("c", -1.6)]
+
+
 def test_average_per_group_rounds_half_even(spark):
     df = spark.createDataFrame([("a", 12.2), ("a", 12.3), ("b", 0.1), ("b", 0.4)], "k string, v double")
     assert rows(ru.average_per_group(df, ["k"], "v", as_type="decimal(18,4)"), "k", "average") == [("a", 12.2), ("b", 0.2)]
