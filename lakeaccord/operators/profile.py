@@ -38,8 +38,9 @@ def _as_double(df: DataFrame, name: str) -> str:
     return f"CAST({value} AS DOUBLE)"
 
 
-def _moments(df: DataFrame, columns: list[str], group: list[str], approx: bool) -> DataFrame:
+def _moments(df: DataFrame, columns: list[str], group: list[str], approx: bool, exact: dict[str, str] | None = None) -> DataFrame:
     """One aggregate over all columns, no rows multiplied; then one row per column."""
+    exact = exact or {}
     aggregates = ["count(1) AS _rows"]
     cells = []
     for i, name in enumerate(columns):
@@ -54,7 +55,10 @@ def _moments(df: DataFrame, columns: list[str], group: list[str], approx: bool)
         functions = {"min": "min", "max": "max", "mean": "avg", "std": "stddev_samp"}
         for part, function in functions.items():
             if is_numeric(data_type):
-                aggregates.append(f"{function}({_as_double(df, name)}) AS _{part}{i}")
+                figure = f"{function}({_as_double(df, name)})"
+                if part == "mean" and name in exact:
+                    figure = f"try_divide(CAST(sum(CAST({present(df, name)} AS {exact[name]})) AS DOUBLE), count({present(df, name)}))"
+                aggregates.append(f"{figure} AS _{part}{i}")
                 cell.append(f"round(_{part}{i}, 4) AS {part}")
             else:
                 cell.append(f"CAST(NULL AS DOUBLE) AS {part}")
@@ -118,14 +122,17 @@ def profile(
     columns: list[str] | None = None,
     group: str | None = None,
     approx_distinct: bool = False,
+    exact: dict[str, str] | None = None,
 ) -> DataFrame:
     """Profile rows of one table, or of each table named in the ``group`` column.
 
     ``approx_distinct`` answers in a single scan without a shuffle of values.
+    ``exact`` names columns whose values a decimal type holds in every digit:
+    their means are of exact sums, and so do not depend on the order of rows.
     """
     columns = columns or [c for c in df.columns if c != group]
     keys = [group] if group else []
-    stats = _moments(df, columns, keys, approx_distinct)
+    stats = _moments(df, columns, keys, approx_distinct, exact)
     if not approx_distinct:
         key = [*keys, "col_name"]
         stats = _with_distincts(stats, _count_distinct([_values(df, columns, keys)], key), key)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import floor_divide, scale_truncated, truncate_to_long
 from ..labels import DIFF_ENTITY, DUPLICATE, TYPE1, TYPE2
 from ..operators.profile import profile
+from ..operators.rollups import MONEY
 from ..operators.sampling import sample_values
 from ..sources.catalog import ddl_blocks, declaration, mint_pair_ids
 from ..sources.lake import table
@@ -46,7 +47,7 @@ def shard_rows(spark, folder) -> DataFrame:
 
 def shard_stats(spark, folder) -> DataFrame:
     rows = shard_rows(spark, folder).select("table_name", *COLUMNS)
-    return profile(rows, group="table_name")
+    return profile(rows, group="table_name", exact={"price_usd": MONEY})
 
 
 def shard_samples(spark, folder) -> DataFrame:

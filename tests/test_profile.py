@@ -25,6 +25,17 @@ def by_column(df):
     return {r["col_name"]: r for r in df.collect()}
 
 
+def test_exact_means_do_not_depend_on_the_order_of_rows(spark):
+    # 600 prices whose mean is a tie at four digits; the sum of doubles lands on either side of it.
+    cents = [(i * 7919 % 9_999_991, 1) for i in range(1, 600)]
+    cents.append((3_146_789_301 - sum(c for c, _ in cents), 1))
+    rows = sorted(cents)
+    for order in (rows, rows[::-1], cents):
+        df = spark.createDataFrame([(c / 100, None if i % 2 else float("nan")) for i, (c, _) in enumerate(order)], "v double, none double").coalesce(1)
+        got = by_column(profile(df, "t", exact={"v": "decimal(18,2)", "none": "decimal(18,2)"}))
+        assert got["v"]["mean"] == 52446.4884 and got["none"]["mean"] is None
+
+
 def test_counts_and_moments(rows):
     got = by_column(profile(rows, "t"))
     assert {r["table_name"] for r in got.values()} == {"t"}
