@@ -165,3 +165,20 @@ def test_terms_of_texts_that_are_not_fitted_have_no_column(spark):
     size = tm.write_fold_features(marked, ["combo"], fresh_path(spark, "bounded"))
     fitted = {t for r in marked.where("fit").collect() for t in terms(r["text"])}
     assert size == len(fitted) < len({t for r in rows for t in terms(r[3])}) / 2
+
+
+def test_terms_of_the_same_texts_are_one_column_and_change_no_score(spark, tmp_path):
+    words = ["currency euro dollar", "monthly annual weekly", "same equal copy", "other entity thing"]
+    rows = [("S", f"p{i:03d}", LABELS[i % 4], f"{words[(i + (i % 9 == 0)) % 4]} a{i // 3} b{i // 3} a{i // 3} noise{i % 7}") for i in range(120)]
+    texts = spark.createDataFrame(rows, "combo string, pair_id string, label string, text string").join(
+        spark.createDataFrame([(f"p{i:03d}", i % 5) for i in range(120)], "pair_id string, fold int"), "pair_id").cache()
+    found = []
+    for merge in (False, True):
+        path = f"{tmp_path}/{merge}"
+        size = tm.write_fold_features(texts, ["combo"], path, merge_equal=merge)
+        vectors = spark.read.format("libsvm").option("numFeatures", size).load(f"{path}/vectors/combo=S/model=2")
+        model = tm.fit_classifier(vectors.filter("fold <> 2"))
+        kept = sorted((round(float(v), 4) for r in model.transform(vectors).select("probability").collect() for v in r[0]))
+        found.append((size, kept))
+    (wide, plain), (narrow, merged) = found
+    assert narrow < 0.6 * wide and max(abs(a - b) for a, b in zip(plain, merged, strict=True)) < 1e-3
