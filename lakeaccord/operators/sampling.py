@@ -54,8 +54,10 @@ def sample_values(
 
     ``table`` is a name, or a column when one frame holds many tables. Of one
     table a first pass counts values per digest prefix, so that the second only
-    writes out and sorts the cells that can be among the first ``n``. Ranking to
-    a constant is cut to ``n`` rows per column on the map side of the shuffle.
+    writes out and sorts the cells that can be among the first ``n``. Of many
+    tables rows are cut first: rows with values in the same columns have their
+    cells in the same order, so only the first ``n`` of them are written out.
+    Ranking to a constant is cut to ``n`` rows on the map side of the shuffle.
     """
     df = df.withColumns({c: F.expr(present(df, c)) for c in columns})
     many = not isinstance(table, str)
@@ -65,7 +67,11 @@ def sample_values(
         "_bucket", F.substring("_h", 1, BUCKET_DIGITS)
     )
     if many:  # no row is shuffled by its table: the window's limit already cuts on the map side
-        limited, keep = hashed, {c: F.lit(True) for c in columns}
+        # The number before the name tells rows of different tables apart in their first eight bytes when they are sorted.
+        alike = F.concat(*[F.when(F.col(c).isNotNull(), "1").otherwise("0") for c in columns])
+        first = W.partitionBy(F.xxhash64("table_name"), "table_name", alike).orderBy("_h")
+        limited = hashed.withColumn("_place", F.rank().over(first)).filter(F.col("_place") <= n).drop("_place")
+        keep = {c: F.lit(True) for c in columns}
     else:
         cut = _cutoffs(hashed, columns, n)
         limited = hashed.withColumn("_cut", cut.scalar()).filter(F.col("_bucket") <= F.array_max("_cut"))

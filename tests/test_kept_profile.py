@@ -1,3 +1,4 @@
+import hashlib
 import random
 import statistics
 
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeaccord.operators import kept_profile as kp
 from lakeaccord.operators.ranking import keep_smallest
-from lakeaccord.operators.sampling import stratified_sample
+from lakeaccord.operators.sampling import sample_values, stratified_sample
 from lakeaccord.sources.catalog import read_manifests, write_many_manifests
 
 SCHEMA = "k bigint, v double, who string, nothing int"
@@ -90,3 +91,26 @@ def test_samples_by_label_deal_no_row_out_by_its_label(spark):
     digest = rows.withColumn("h", F.md5(F.col("id").cast("string")))
     same = [sorted(r["id"] for r in keep_smallest(digest, ["label"], "h", F.lit(9).cast("bigint"), few).collect()) for few in (True, False)]
     assert same[0] == same[1]
+
+
+def test_many_manifests_share_files(spark, tmp_path):
+    frame = spark.range(8400).select(F.concat(F.lit("t"), F.col("id") % 1200).alias("name"), "id", (F.col("id") % 3 / 7).alias("v"))
+    write_many_manifests(frame, "name", ["v"], ["id"], str(tmp_path / "m"))
+    assert 1 < len(list((tmp_path / "m").rglob("part-*"))) <= 3
+    found = {r["table_name"]: r for r in read_manifests(spark, str(tmp_path / "m")).collect()}
+    assert len(found) == 1200 and all(r["row_count"] == 7 and len(r["sample_values"]) == 6 for r in found.values())
+    assert abs(found["t5"]["mean"] - round(sum((5 + 1200 * i) % 3 / 7 for i in range(7)) / 7, 4)) < 1e-9
+
+
+def test_samples_of_many_tables_with_gaps_and_repeated_keys(spark):
+    rows = [(f"t{i % 3}", i // 4, float(i) if i % 5 else None, None if i % 7 < 3 else i % 11) for i in range(400)]
+    df = spark.createDataFrame(rows, "name string, key bigint, v double, w int")
+    found = sample_values(df, ["v", "w"], ["key"], table=F.col("name"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank(_h" in plan  # rows are cut before their cells are laid out
+    got = {(r["table_name"], r["col_name"]): r["sample_values"] for r in found.collect()}
+    digest = lambda key: hashlib.md5(f"42|{key}".encode()).hexdigest()
+    for t in ("t0", "t1", "t2"):
+        for column, place in (("v", 2), ("w", 3)):
+            cells = sorted((digest(r[1]), str(r[place])) for r in rows if r[0] == t and r[place] is not None)
+            assert got[t, column] == [v for _, v in cells[:10]]
