@@ -150,6 +150,15 @@ def blocks(spark, folder):
     )
 
 
+#: Tasks per core that write texts.
+TEXT_TASKS = 4
+
+
+def subset_blocks(spark, folder):
+    """Every pair's blocks once per source subset, dealt out evenly: the joins end in few tasks, and fifteen texts a pair are much longer than its blocks."""
+    return with_subsets(blocks(spark, folder).repartition(TEXT_TASKS * spark.sparkContext.defaultParallelism, "id"))
+
+
 def evidence_blocks(spark, folder):
     return blocks(spark, folder)
 
@@ -158,7 +167,7 @@ BLOCKS_SQL = f"WITH {shards.BLOCKS} SELECT * FROM blocks"
 
 
 def evidence_texts(spark, folder):
-    texts = with_subsets(blocks(spark, folder))
+    texts = subset_blocks(spark, folder)
     return texts.select("id", "combo", F.size("sources").alias("n_sources"), evidence_text().alias("evidence"))
 
 
@@ -180,7 +189,7 @@ SELECT id, combo, length(combo)::INTEGER AS n_sources, {_EVIDENCE} AS evidence F
 
 
 def request_texts(spark, folder):
-    texts = with_subsets(blocks(spark, folder)).withColumn("request", request_text())
+    texts = subset_blocks(spark, folder).withColumn("request", request_text())
     return texts.select("id", "combo", F.md5("request").alias("digest"), F.length("request").alias("n_chars"))
 
 

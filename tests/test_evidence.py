@@ -81,3 +81,11 @@ def test_request_text(blocks):
 def test_factorial_is_no_join(blocks):
     plan = ev.with_subsets(blocks)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_texts_of_all_subsets_are_dealt_out_evenly(spark):
+    from lakeaccord.plans.evidence_queries import TEXT_TASKS, subset_blocks
+
+    found = subset_blocks(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [id" in plan and f", {TEXT_TASKS * spark.sparkContext.defaultParallelism}" in plan and plan.index("Generate") < plan.index("RepartitionByExpression")
