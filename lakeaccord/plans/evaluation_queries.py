@@ -18,7 +18,7 @@ from ..sources.lake import table
 from ..sources.results import read_predictions, read_summary, row_of_combo, settled_predictions, write_summary
 from ..streaming.incremental import label_unseen, open_runs, run_factorial
 from . import shards
-from .evidence_queries import _EVIDENCE, blocks
+from .evidence_queries import _EVIDENCE, subset_blocks
 
 # The order in which each model asks the sources, and the rule of each source.
 MODELS = {"long_first": "SVLD", "lang_first": "DLVS", "text_first": "VDSL"}
@@ -390,11 +390,12 @@ def _read_evidence(texts):
 def labelling_run(spark, folder):
     """Evidence texts of all pairs and combinations, labelled, stopped, resumed and summed up."""
     path = fresh_path(spark, "labelling")
-    subsets = with_subsets(blocks(spark, folder))
+    subsets = subset_blocks(spark, folder)
     subsets.select("combo", F.col("id").alias("pair_id"), "label", evidence_text().alias("text")).write.partitionBy("combo").parquet(f"{path}/texts")
     texts = spark.read.schema("pair_id string, label string, text string, combo string").parquet(f"{path}/texts")
     pairs = texts.filter(F.col("combo") == "S").select("pair_id", "label")
-    rule = lambda model, combo, run: lambda todo: _read_evidence(texts.filter(F.col("combo") == combo).join(todo.select("pair_id"), "pair_id", "left_semi"))
+    # The rule reads each text where it lies; labels, not texts, are dealt out to meet the open pairs.
+    rule = lambda model, combo, run: lambda todo: _read_evidence(texts.filter(F.col("combo") == combo)).join(todo.select("pair_id"), "pair_id")
     label_unseen(pairs.filter(F.col("label") == TYPE1), rule("reader", "DS", 1), f"{path}/predictions", "reader", "DS", 1)
     combos = sorted("".join(c for i, c in enumerate("DLSV") if bits >> i & 1) for bits in range(1, 16))
     run_factorial(pairs, rule, f"{path}/predictions", ["reader"], combos)

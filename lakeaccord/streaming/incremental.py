@@ -52,6 +52,8 @@ def label_unseen(
     )
     known = pairs.withColumn("_id", F.col("pair_id").cast("string"))
     todo = todo_pairs(known, done.withColumnRenamed("pair_id", "_id"), ["_id"])
+    if todo.isEmpty():  # known from ids alone: the labeller's input is not read
+        return 0
     if chunk_rows is None:
         return _append(todo.drop("_id"), label, path, model, combo, run)
     chunks = max(1, -(-pairs.count() // chunk_rows))

@@ -81,3 +81,12 @@ def test_two_writers_leave_one_prediction_per_pair(spark, tmp_path):
     assert read_predictions(spark, path).count() == 60
     assert [(r["pred"], r["count"]) for r in settled_predictions(spark, path).groupBy("pred").count().collect()] == [("a", 20)]
     assert label_unseen(pairs, labeller("c"), path, "m", "D", 1, chunk_rows=5) == 0
+
+
+def test_a_finished_run_does_not_read_the_labellers_input(spark, tmp_path):
+    path = str(tmp_path / "p")
+    pairs = spark.range(10).select(F.col("id").alias("pair_id"))
+    assert label_unseen(pairs, labeller("a"), path, "m", "D", 1) == 10
+    calls = []
+    assert label_unseen(pairs, lambda todo: calls.append(1) or labeller("b")(todo), path, "m", "D", 1) == 0
+    assert label_unseen(pairs, lambda todo: calls.append(1) or labeller("b")(todo), path, "m", "D", 1, chunk_rows=3) == 0 and not calls
