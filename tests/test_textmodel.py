@@ -182,3 +182,20 @@ def test_terms_of_the_same_texts_are_one_column_and_change_no_score(spark, tmp_p
         found.append((size, kept))
     (wide, plain), (narrow, merged) = found
     assert narrow < 0.6 * wide and max(abs(a - b) for a, b in zip(plain, merged, strict=True)) < 1e-3
+
+
+def test_counts_are_made_once_and_parts_follow_their_bytes(spark, monkeypatch):
+    texts = ["Ab ab, cd ab cd", "ab", "", None, "x !", "ab cd", "ÄÖ_1 äö_1"]
+    df = spark.createDataFrame([*enumerate(texts), (0, "cd ab"), (1, None)], "id int, text string")
+    counts = {(r["id"], r["term"]): r["tf"] for r in tm.term_counts(df, ["id"], "text").collect()}
+    assert counts == {
+        (0, "ab"): 4, (0, "cd"): 3, (0, "ab ab"): 1, (0, "ab cd"): 2, (0, "cd ab"): 2, (1, "ab"): 1,
+        (5, "ab"): 1, (5, "cd"): 1, (5, "ab cd"): 1, (6, "äö_1"): 2, (6, "äö_1 äö_1"): 1}
+    assert tm.term_counts(df.limit(0), ["id"], "text").collect() == []
+    monkeypatch.setattr(tm, "TEXT_BYTES_PER_TASK", 1)
+    found = tm.tfidf_weights(df, "id", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    size = sum(len(t.encode()) for t in [*texts, "cd ab"] if t)
+    assert plan.count("hashpartitioning(term#") == 1 and plan.count(f", {size}), REPARTITION_BY_NUM") == 3
+    weights = {(r["id"], r["term"]): r["weight"] for r in found.collect()}
+    assert weights.keys() == counts.keys() and all(abs(sum(w * w for (i, _), w in weights.items() if i == k) - 1) < 1e-12 for k in (0, 1, 5, 6))
