@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeaccord.operators.profile import profile
+from lakeaccord.plans.evidence_queries import lineage_round_trip
 from lakeaccord.sources import catalog, csv_tables, lineage, results
 
 DDL = """-- a heading that belongs to no table
@@ -86,6 +87,22 @@ def test_last_events_are_found_before_their_texts_are_fetched(spark, tmp_path):
     assert len(scans) == 2 and "max(place" in scans[1] and "entry" not in scans[1]
 
 
+def test_last_events_of_one_reading(spark, tmp_path):
+    path = tmp_path / "lineage.json"
+    path.write_text(json.dumps([*EVENTS, *EVENTS]))
+    found = lineage.lineage_by_table(lineage.read_lineage(spark, str(path)), read_once=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan json") == 1 and "Join" not in plan and plan.count("Exchange") == 1
+    got = [(r["table_name"], r["job"], r["inputs"], r["sql"]) for r in found.collect()]
+    assert sorted(got) == [("t", "late", ["a", "b"], "SELECT 1"), ("u", "", [], "Q")]
+    assert found.schema == lineage.lineage_by_table(lineage.read_lineage(spark, str(path))).schema
+
+
+def test_the_round_trip_reads_its_events_once_for_tables_and_once_for_namespaces(spark):
+    plan = lineage_round_trip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan json") == 2 and "Join" not in plan
+
+
 def test_lineage_events_are_numbered_per_output(spark, tmp_path):
     jobs = spark.createDataFrame(
         [(1, "ingest", ["source/x"], ["a", "b"], "S1"), (2, "aggregate", ["a"], ["c"], "S2")],
