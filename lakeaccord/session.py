@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,7 +64,25 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def bucketed(spark: SparkSession, frame: DataFrame, column: str, buckets: int, purpose: str) -> Iterator[DataFrame]:
+    """Within it, the frame as a table written in buckets, so that grouping by `column` again and again moves no row of it."""
+    path = fresh_path(spark, purpose)
+    name = f"lakeaccord_{uuid.uuid4().hex}"
+    frame.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Removes a folder that :func:`fresh_path` gave, or one above such folders."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove_written(spark: SparkSession) -> bool:
     """Removes all that :func:`fresh_path` gave; results that were not read to the end need it no more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lakeaccord")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return remove(spark, f"{shared_folder(spark)}/lakeaccord")

@@ -160,3 +160,37 @@ def test_copies_of_a_text_change_nothing_about_it(spark):
     assert single["n_words"] == 13 and len(copies) == 50
     for r in copies:
         assert r["n_words"] == 13 and r["kept"] == single["kept"] and abs(r["word_perplexity"] / single["word_perplexity"] - 1) < 1e-9
+
+
+def test_blocks_shards_and_parts_change_nothing(spark):
+    texts = [prose(i, 80, 600) for i in range(120)] + odd_texts() + GREEK
+    docs = documents(spark, texts).repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(70)], LABELS)
+    one, many = ({r["doc_id"]: r for r in q.quality(spark, docs, labels, **sizes).collect()} for sizes in ({}, {"block_bytes": 3000, "shard_pairs": 500, "rounds": 4}))
+    assert len(one) == len(many) == len(texts)
+    for i, a in one.items():
+        b = many[i]
+        assert all(a[c] == b[c] for c in ("lang", "n_chars", "n_words", "kept"))
+        for c in ("perplexity", "word_perplexity", "apart_perplexity", "threshold", "word_threshold"):
+            assert a[c] is b[c] is None or abs(a[c] / b[c] - 1) < 1e-9
+
+
+def test_neither_texts_nor_pairs_stay_on_disk(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("lakeaccord.session.shared_folder", lambda spark: str(tmp_path))
+    texts = [prose(i, 400, 100_000) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], LABELS)
+    tables = len(spark.catalog.listTables())
+    found = q.quality(spark, documents(spark, texts), labels)
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 0.5 * sum(map(len, texts))
+    assert found.count() == 400 and len(spark.catalog.listTables()) == tables
+
+
+def test_packed_numbers_come_back(spark):
+    rng = np.random.default_rng(3)
+    counts = np.stack([rng.geometric(0.4, 500) - 1, rng.geometric(0.2, 500) - 1, rng.integers(0, 2, 500)]).astype(np.uint64)
+    counts[:2, :3] = [[7, 1 << 40, 0], [6, 0, 1 << 33]]
+    figures = rng.integers(0, 1 << 45, (q.VIEWS * q.FIGURES, 300)).astype(np.uint64)
+    figures[:, :200] //= np.uint64(1 << 43)
+    for n in (0, 1, 300):
+        assert (q._unpacked_counts(q._packed_counts(counts[:, :n])) == counts[:, :n]).all()
+        assert (q._unpacked_figures(q._packed_figures(figures[:, :n])) == figures[:, :n]).all()
