@@ -480,6 +480,7 @@ def _perplexities(spark: SparkSession, docs: DataFrame, good: DataFrame, model,
     of the pairs it is the one to report. Answers come in the order asked.
     """
     size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    rounds = min(rounds, max(1, -(-size // block_bytes)))
     shards = max(rounds, -(-size // (6 * shard_pairs)))  # a word and its blank are about six bytes
     buckets = min(MOST_TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * math.ceil(size / block_bytes)))
     tasks = lambda n: min(n, MOST_TASKS)
@@ -532,7 +533,8 @@ def quality(
     points. That one is never whole in one place: texts stand as blocks of word
     numbers, about `block_bytes` of text each, and ask shards of about
     `shard_pairs` pairs for the counts that they need; that goes in `rounds` parts
-    one after the other, which bounds what is on disk at a time.
+    one after the other (as many as blocks, if these are fewer), which bounds
+    what is on disk at a time.
 
     A document is kept if its perplexity per character and that per word are
     each at most the given quantile of the trusted texts of its language; a
