@@ -199,3 +199,11 @@ def test_counts_are_made_once_and_parts_follow_their_bytes(spark, monkeypatch):
     assert plan.count("hashpartitioning(term#") == 1 and plan.count(f", {size}), REPARTITION_BY_NUM") == 3
     weights = {(r["id"], r["term"]): r["weight"] for r in found.collect()}
     assert weights.keys() == counts.keys() and all(abs(sum(w * w for (i, _), w in weights.items() if i == k) - 1) < 1e-12 for k in (0, 1, 5, 6))
+
+
+def test_every_training_text_is_fitted_unless_a_caller_sets_a_bound(spark):
+    pairs = spark.range(20_050).select(F.lit("S").alias("combo"), F.col("id").cast("string").alias("pair_id"), F.lit(LABELS[0]).alias("label"), F.lit("same text").alias("text"))
+    folds = tm.cv_folds(pairs)
+    assert folds.filter("fit").count() == folds.count() == 20_050
+    design = tm.cv_design(pairs).collect()
+    assert len(design) == 5 and all(r["train_rows"] == r["all_rows"] == 16_040 for r in design)
