@@ -8,6 +8,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from lakeaccord.labels import LABELS
+from lakeaccord.operators import softmax
 from lakeaccord.operators import textmodel as tm
 from lakeaccord.session import fresh_path
 
@@ -207,3 +208,50 @@ def test_every_training_text_is_fitted_unless_a_caller_sets_a_bound(spark):
     assert folds.filter("fit").count() == folds.count() == 20_050
     design = tm.cv_design(pairs).collect()
     assert len(design) == 5 and all(r["train_rows"] == r["all_rows"] == 16_040 for r in design)
+
+
+def test_small_models_are_fitted_by_one_task_each_and_large_ones_by_jobs_with_the_same_result(spark, monkeypatch):
+    words = ["currency euro dollar", "monthly annual weekly", "same equal copy", "other entity thing"]
+    rows = [(c, f"p{i:03d}", LABELS[i % 4], "" if i % 20 == 19 else f"{words[(i + (i % 7 == 0)) % 4]} {c} noise{i % 9} own{i}") for c in "SV" for i in range(80)]
+    texts = spark.createDataFrame(rows, "combo string, pair_id string, label string, text string")
+
+    def found():
+        means, pooled, certified = tm.cross_validate(texts, ["S", "V"])
+        scores = [{k: round(v, 6) if isinstance(v, float) else v for k, v in r.asDict().items()} for df in (means, pooled) for r in df.orderBy("combo").collect()]
+        models = sorted((r["combo"], r["fold"], r["train_rows"], r["coefficients"]) for r in certified.collect())
+        return scores, models, max(r["gradient"] for r in certified.collect())
+
+    by_jobs, fit = [], tm.fit_classifier
+    monkeypatch.setattr(tm, "fit_classifier", lambda train: by_jobs.append(1) or fit(train))
+    *in_tasks, gradient = found()
+    assert not by_jobs and gradient < 1e-4 and len(in_tasks[1]) == 10
+    monkeypatch.setattr(tm, "CELLS_IN_TASK", 0)
+    *in_jobs, gradient = found()
+    assert len(by_jobs) == 10 and gradient < 1e-4 and in_jobs == in_tasks
+
+
+def test_the_optimum_of_a_task_is_that_of_the_objective(monkeypatch):
+    monkeypatch.setattr(softmax, "CHUNK", 7)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 12)) * (rng.random((150, 12)) < 0.4)
+    x[:, 3] = x[7] = x[149] = 0.0
+    y = np.array([0] * 70 + [1] * 40 + [2] * 30 + [3] * 10)
+    starts, (_, columns) = np.concatenate([[0], np.cumsum((x != 0).sum(1))]), x.nonzero()
+    weights = (150 / (4 * np.bincount(y)))[y]
+    cells = softmax.Cells(starts, columns, x[x != 0], 12)
+    w = softmax.fit(cells, y, weights, 2000, 1e-10)
+    scores = x @ w[:, :-1].T + w[:, -1]
+    assert np.allclose(cells.times(w), scores.T)
+    p = np.exp(scores - scores.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    assert np.allclose(softmax.chances(scores.T), p.T)
+    residual = (p - np.eye(4)[y]) * weights[:, None]
+    assert np.abs(residual.T @ x + w[:, :-1]).max() < 1e-3 and np.abs(residual.sum(0)).max() < 1e-3 and abs(w[:, -1].sum()) < 1e-9
+
+
+def test_a_label_that_is_missing_or_alone_is_left_to_the_jobs(spark, tmp_path):
+    def lines(labels):
+        rows = [(f"{k} 1:0.5 3:0.25", "S", m, f, 1) for k in labels for m in (0, 1) for f in (0, 1)]
+        return spark.createDataFrame(rows, "value string, combo string, model int, fold int, fit int")
+    assert tm._in_tasks(lines([0, 1, 2])) == {("S", 0), ("S", 1)}
+    assert tm._in_tasks(lines([0, 2])) == tm._in_tasks(lines([1])) == set()
